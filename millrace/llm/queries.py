@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, fingerprint, packing
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -25,7 +29,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_sum_of_squares_packing": op8_sum_of_squares_packing, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_improbable_features": op1_improbable_features, "op8_sum_of_squares_packing": op8_sum_of_squares_packing, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
