@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, packing
-from .common import read_table
+from . import bpe, fingerprint, langid, packing, quality
+from .common import read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,19 @@ def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op4_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs, model, extra=("held_out",))
+
+
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    labels = read_table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    return quality.score(docs, model, ("doc_id", "held_out"))
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -29,7 +43,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_improbable_features": op1_improbable_features, "op8_sum_of_squares_packing": op8_sum_of_squares_packing, "op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op8_sum_of_squares_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
