@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, quality
+from . import bpe, fingerprint, langid, line_templates, packing, quality
 from .common import read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -43,8 +48,8 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op8_sum_of_squares_packing, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op8_sum_of_squares_packing, op9_line_templates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_templates": line_templates.ORACLE_SQL}
