@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, line_templates, packing, quality
+from . import bpe, fingerprint, jaccard, langid, line_templates, packing, quality
 from .common import read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
@@ -48,7 +52,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op8_sum_of_squares_packing, op9_line_templates, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op7_ngram_jaccard, op8_sum_of_squares_packing, op9_line_templates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
