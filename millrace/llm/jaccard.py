@@ -18,13 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_partitions, text_slices, written
+from .common import text_slices, written
 
-#: Bits of the map of columns that several classes share; ranges that its columns are sorted in.
-MAP_BITS, RANGES = 26, 64
-#: N-grams of a block, about, and columns of a dense product.
-BLOCK_GRAMS, COLUMNS = 60_000, 8_192
-CACHE = 400_000
+#: Bits of the map of columns that several classes share, and of a column as it is sent; ranges that its columns are sorted in.
+MAP_BITS, COLUMN_BITS, RANGES = 26, 30, 64
+#: N-grams of a block, about; those that a row counts as besides its own; columns of a dense product.
+BLOCK_GRAMS, ROW_GRAMS, COLUMNS = 200_000, 200, 8_192
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,33 +33,52 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _K)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWER_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+
+
 class Shingler:
-    """Sorted distinct hashes of the word n-grams of texts; A-Z are lowered and words end at ASCII white space."""
+    """Sorted distinct hashes of the word n-grams of texts; A-Z are lowered and words end at ASCII white space.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums over all texts at once.
+    """
 
     def __init__(self, words: int):
-        self.words, self.cache = words, {}
+        self.words, self.back, self.on = words, np.empty(0, np.uint64), np.empty(0, np.uint64)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().lower().split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        for w in set().union(*split) - self.cache.keys():
-            self.cache[w] = xxhash.xxh3_64_intdigest(w)
+        data = [t.encode() for t in texts]
+        buffer = np.frombuffer(b"\n".join([*data, b""]).lower(), np.uint8)
+        first = np.cumsum([0] + [len(x) + 1 for x in data])
+        if len(self.back) < len(buffer):
+            self.back = np.cumprod(np.append(np.uint64(1), np.full(2 * len(buffer), _POWER_INVERSE)))
+            self.on = np.cumprod(np.append(np.uint64(1), np.full(2 * len(buffer), np.uint64(0x5851F42D4C957F2D))))
+        inside = ~_SPACE[buffer]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.append(0, edge) if len(inside) and inside[0] else edge
+        start, end = edge[::2], edge[1::2]
+        total = np.append(np.uint64(0), np.cumsum(_BYTES[buffer] * self.back[: len(buffer)]))
+        ids = _mix((total[end] - total[start]) * self.on[start] + (end - start).astype(np.uint64) * _K)
+        words = np.diff(np.searchsorted(start, first))
+        at = np.cumsum(words) - words
+        m = max(0, len(ids) - self.words + 1)
+        h = np.full(m, self.words, np.uint64)
+        for k in range(self.words):
+            h = _mix(h * _K + ids[k : k + m])
         out = []
-        for words in split:
-            n = len(words)
-            ids = np.fromiter(map(self.cache.__getitem__, words), np.uint64, n)
-            if n < self.words:  # the whole sequence is one
-                h = np.full(min(n, 1), n, np.uint64)
-                for w in ids:
-                    h = _mix(h * _K + w)
-            else:
-                m = n - self.words + 1
-                h = np.full(m, self.words, np.uint64)
-                for k in range(self.words):
-                    h = _mix(h * _K + ids[k : k + m])
-                h = np.unique(h)
-            out.append(h)
+        for a, n in zip(at.tolist(), words.tolist(), strict=True):
+            if n >= self.words:
+                own = np.sort(h[a : a + n - self.words + 1])
+                keep = np.ones(len(own), bool)
+                np.not_equal(own[1:], own[:-1], out=keep[1:])
+                out.append(own[keep])
+            else:  # the whole sequence is one
+                own = np.full(min(n, 1), n, np.uint64)
+                for w in ids[a : a + n]:
+                    own = _mix(own * _K + w)
+                out.append(own)
         return out
 
 
@@ -89,29 +107,59 @@ def _members(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     return _mapped(docs, words, id_col, text_col, "doc_id bigint, n_shingles bigint, class bigint", one)
 
 
+def _packed(columns: np.ndarray) -> bytes:
+    """Sorted distinct numbers as 16-bit steps; the largest step adds its size and holds no number."""
+    steps = np.diff(columns.astype(np.int64), prepend=-1)
+    far = steps // 0xFFFF
+    out = np.full(len(steps) + int(far.sum()), 0xFFFF, np.uint16)
+    out[np.cumsum(far) + np.arange(len(steps))] = steps % 0xFFFF
+    return out.astype("<u2").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, "<u2")
+    return (np.cumsum(steps.astype(np.int64)) - 1)[steps != 0xFFFF]
+
+
 def _shared_columns(docs: DataFrame, words: int, id_col: str, text_col: str) -> np.ndarray:
     """A bit map, MAP_BITS wide by hash, in which every column that comes in two rows or more is set.
 
-    Rows send 38 bits of each column, sorted and packed by range; what meets another there is set. A bit that is set
-    without need costs a later stage a row, never a link.
+    Partitions send COLUMN_BITS bits of each column, sorted and packed by range; what comes twice in one, or meets another,
+    is set. A bit that is set without need costs a later stage a row, never a link.
     """
+    low = COLUMN_BITS - 6  # bits within a range
 
-    def one(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        grams = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-        cuts = np.searchsorted(grams, (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)))
-        packed = [((part >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for part in np.split(grams, cuts)]
-        return [pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size = Shingler(words), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = np.sort(np.concatenate(held))
+            twice = np.unique(found[1:][found[1:] == found[:-1]])
+            for part, often in ((np.unique(found), False), (twice, True)):
+                cuts = np.searchsorted(part, np.arange(1, RANGES) << low)
+                packed = [_packed(x & ((1 << low) - 1)) for x in np.split(part.astype(np.int64), cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([often] * RANGES), pa.array(packed, pa.binary())], ["range", "often", "packed"])
+
+        for _, texts in text_slices(batches, 0):
+            for s in own.sets(texts):
+                held.append((s >> np.uint64(64 - COLUMN_BITS)).astype(np.uint32))
+                size += len(s)
+            if size > 4_000_000:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
 
     def merge(rows: pa.Table) -> pa.Table:
         """Columns of one range that come twice, as the places of their bits."""
-        r = rows["range"][0].as_py()
-        found = np.sort(np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows["packed"]]))
-        twice = np.unique(found[1:][found[1:] == found[:-1]]).astype(np.uint64)
+        parts = [(often.as_py(), _unpacked(x.as_py()).astype(np.uint32)) for often, x in zip(rows["often"], rows["packed"], strict=True)]
+        found = np.sort(np.concatenate([x for _, x in parts]))
+        twice = np.concatenate([found[1:][found[1:] == found[:-1]], *(x for often, x in parts if often)])
         bits = np.zeros(1 << (MAP_BITS - 6), np.uint8)
-        bits[(twice >> np.uint64(32 - (MAP_BITS - 6))).astype(np.int64)] = 1
-        return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        bits[twice >> (COLUMN_BITS - MAP_BITS)] = 1
+        return pa.table({"range": pa.array([rows["range"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    rows = _mapped(docs, words, id_col, text_col, "range int, packed binary", one).groupBy("range").applyInArrow(merge, "range int, bits binary").collect()
+    rows = docs.select(text_col).mapInArrow(run, "range int, often boolean, packed binary").groupBy("range").applyInArrow(merge, "range int, bits binary").collect()
     out = np.zeros((RANGES, 1 << (MAP_BITS - 9)), np.uint8)
     for r in rows:
         out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
@@ -213,7 +261,7 @@ def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col:
     sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
     # a class of size n links with sizes from n * percent / 100 up: its own band or the next
     banded = written(clusters.join(sizes, clusters.node == sizes["class"]).select("root", "class", "n", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) - F.lit(1e-9)).cast("int").alias("band")))
-    cells = banded.groupBy("root", "band").agg(F.sum("n").alias("grams"))
+    cells = banded.groupBy("root", "band").agg(F.sum(F.col("n") + ROW_GRAMS).alias("grams"))
     blocked = written(banded.join(cells, ["root", "band"]).select("class", "root", "band", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int").alias("block")))
 
     # the n-grams of clustered classes alone leave the documents: a bit map of fixed size tells most others apart
@@ -268,7 +316,7 @@ def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
 
     wanted = ("classes", "sizes", "grams", "classes_b", "sizes_b", "grams_b")
-    return pairs.select(*wanted).repartition(input_partitions(docs)).mapInArrow(multiply, "a bigint, b bigint")
+    return pairs.select(*wanted).mapInArrow(multiply, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ def brute(rows, n, percent):
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_against_brute_force(spark, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 300)  # several blocks in a cluster
+    monkeypatch.setattr(jaccard, "ROW_GRAMS", 1)
     r = random.Random(n)
     vocabulary = ["w%d" % i for i in range(60)]
     bases = [[r.choice(vocabulary) for _ in range(r.randint(3, 90))] for _ in range(12)]
@@ -64,3 +65,18 @@ def test_product():
     block = lambda x: (np.concatenate(x), np.array([len(y) for y in x]))
     got = jaccard.product(block(rows[:4]), block(rows[4:]))
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in rows[4:]] for a in rows[:4]]
+
+
+def test_packed_columns():
+    r = np.random.RandomState(1)
+    for n, top in ((0, 9), (1, 1), (500, 1 << 24), (5000, 6000)):
+        x = np.unique(r.randint(0, top, n)).astype(np.int64)
+        assert jaccard._unpacked(jaccard._packed(x)).tolist() == x.tolist()
+
+
+def test_sets_of_one_text_do_not_depend_on_others():
+    texts = ["", "a b c d e a b c d e", "A\tB\nc", " \x0b ", "é é é é é", "x" * 3000 + " y z w"]
+    own = jaccard.Shingler(4)
+    for t, s in zip(texts, own.sets(texts), strict=True):
+        assert s.tolist() == jaccard.Shingler(4).sets([t])[0].tolist()
+    assert [len(s) for s in own.sets(texts)] == [0, 5, 1, 0, 1, 1]
