@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, langid, line_templates, packing, quality
+from . import bpe, context_mixing, cover_tree, fingerprint, jaccard, langid, line_templates, packing, quality, warc
 from .common import read_table, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op2_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read_table(spark, sf_dir, "pages")))
+
+
 def op4_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     model = langid.fit(docs.where("NOT held_out"))
@@ -41,6 +49,11 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ("doc_id", "held_out"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 7) == 2)
+    return context_mixing.score(docs, "held_out")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=85)
 
@@ -52,7 +65,7 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_improbable_features, op4_language_masks, op5_rule_ensemble, op7_ngram_jaccard, op8_sum_of_squares_packing, op9_line_templates, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_improbable_features, op2_cover_tree_top_k, op3_warc_derivatives, op4_language_masks, op5_rule_ensemble, op6_context_mixing, op7_ngram_jaccard, op8_sum_of_squares_packing, op9_line_templates, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
