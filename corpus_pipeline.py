@@ -44,10 +44,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Documents without an id stay where one of them is in no group with an id; rows that share the smallest id all stay.
+    """
     groups = jaccard.near_duplicates(docs, words=5, percent=80)
-    keep = written(groups.where("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").select(*COLUMNS)
+    keep = written(groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("_keep")).distinct())
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
