@@ -142,8 +142,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
     x = F.col(vector_col)
     sound = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**50)))
     whole = F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(x).alias("dim"))
-    sample = {}
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(x).alias("dim")).distinct()
+    sample = {}  # of distinct rows, as the candidates are: a copy must not raise a floor
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "dim").collect():
         sample.setdefault(r["dim"], []).append((r["id"], r["v"]))
     sample = {d: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64)) for d, own in sample.items()}
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
                 away[at] = np.sqrt(((v - pivots[cells[at]]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32)), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
-    placed = written(rows.distinct().mapInArrow(assign, "id bigint, v array<bigint>, q boolean, dim int, cell int, away double"))
+    placed = written(rows.mapInArrow(assign, "id bigint, v array<bigint>, q boolean, dim int, cell int, away double"))
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if("q").alias("nq")).collect()
     total = sum(r["n"] for r in cells)
     size = min(MOST_BLOCK, max(LEAST_BLOCK, total // (2 * input_partitions(vectors))))

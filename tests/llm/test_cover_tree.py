@@ -34,3 +34,12 @@ def test_against_brute_force(spark, monkeypatch, spread):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert ct.top_k(frame.where("false"), F.lit(True), 5).collect() == []
+
+
+def test_repeated_rows_do_not_raise_the_floor(spark):
+    rows = [(i, [float(10 - i), 1.0]) for i in range(10)]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    thrice = spark.createDataFrame(rows * 3, "vec_id long, embedding array<float>")
+    got = [sorted(tuple(x) for x in ct.top_k(frame, F.col("vec_id") % 5 == 0, 5).collect()) for frame in (once, thrice)]
+    assert got[0] == got[1] and len(got[1]) == 10
+    assert [r[2] for r in got[1] if r[0] == 0] == [1, 2, 3, 4, 5]
