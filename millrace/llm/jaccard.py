@@ -250,19 +250,23 @@ def _forest(pairs: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): links between classes that span every component. Not all links of a component are listed."""
+#: What a block holds.
+_PARTS = ("classes", "sizes", "copies", "grams")
+
+
+def _block_pairs(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of blocks that can hold links, each block its classes, their sizes, copies and n-grams; a block meets itself once."""
     spark = docs.sparkSession
     shared = _shared_columns(docs, words, id_col, text_col)
     prefixes = written(_prefixes(docs, shared, words, percent, id_col, text_col).distinct())
     hubs = prefixes.groupBy("column").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last").select("column", "a")
     clusters = written(components(prefixes.join(hubs, "column").select("a", F.col("class").alias("b"))))
     step = -math.log(percent / 100) if percent < 100 else 1.0
-    sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("least_id"))
+    sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
     # a class of size n links with sizes from n * percent / 100 up: its own band or the next
-    banded = written(clusters.join(sizes, clusters.node == sizes["class"]).select("root", "class", "n", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) - F.lit(1e-9)).cast("int").alias("band")))
+    banded = written(clusters.join(sizes, clusters.node == sizes["class"]).select("root", "class", "n", "copies", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) - F.lit(1e-9)).cast("int").alias("band")))
     cells = banded.groupBy("root", "band").agg(F.sum(F.col("n") + ROW_GRAMS).alias("grams"))
-    blocked = written(banded.join(cells, ["root", "band"]).select("class", "root", "band", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int").alias("block")))
+    blocked = written(banded.join(cells, ["root", "band"]).select("class", "copies", "root", "band", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int").alias("block")))
 
     # the n-grams of clustered classes alone leave the documents: a bit map of fixed size tells most others apart
     def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,49 +290,93 @@ def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col:
         return [pa.array(keep.keys(), pa.int64()), pa.array(keep.values(), pa.binary())]
 
     rows = _mapped(docs, words, id_col, text_col, "class bigint, grams binary", one).join(blocked, "class")
-    schema = "root bigint, band int, block int, classes binary, sizes binary, grams binary"
+    schema = "root bigint, band int, block int, classes binary, sizes binary, copies binary, grams binary"
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        held = {}
+        held, copies = {}, dict(zip(table["class"].to_pylist(), table["copies"].to_pylist(), strict=True))
         for c, g in zip(table["class"].to_pylist(), table["grams"], strict=True):
             if c not in held:  # copies have the same n-grams
                 held[c] = g.as_buffer().to_pybytes()
         held = dict(sorted(held.items()))
-        return pa.table({"root": [key[0].as_py()], "band": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "classes": [np.array(list(held), np.int64).tobytes()], "sizes": [np.array([len(g) // 8 for g in held.values()], np.int64).tobytes()], "grams": [b"".join(held.values())]})
+        return pa.table({"root": [key[0].as_py()], "band": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "classes": [np.array(list(held), np.int64).tobytes()], "sizes": [np.array([len(g) // 8 for g in held.values()], np.int64).tobytes()], "copies": [np.array([copies[c] for c in held], np.int64).tobytes()], "grams": [b"".join(held.values())]})
 
     # copies meet beforehand: one row of a class and its salt is left before a block gathers
-    rows = rows.groupBy("class", "root", "band", "block").agg(F.first("grams").alias("grams"))
+    rows = rows.groupBy("class", "copies", "root", "band", "block").agg(F.first("grams").alias("grams"))
     blocks = written(rows.groupBy("root", "band", "block").applyInArrow(pack, schema))
-    near = blocks.select("root", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("meet"), F.col("band").alias("band_b"), F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in ("classes", "sizes", "grams")))
+    near = blocks.select("root", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("meet"), F.col("band").alias("band_b"), F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in _PARTS))
     pairs = blocks.withColumn("meet", F.col("band")).join(near, ["root", "meet"]).where("band_b > band OR block_b >= block")
 
+    return pairs.select(*_PARTS, *(f"{c}_b" for c in _PARTS))
+
+
+def _linked(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each pair of blocks: the classes and copies of both, which classes link, and all overlaps."""
+    read = lambda row, name, kind: np.frombuffer(row[name].as_buffer(), kind)
+    for i in range(batch.num_rows):
+        row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+        (ca, na, ma, ga), (cb, nb, mb, gb) = ((read(row, "classes" + e, np.int64), read(row, "sizes" + e, np.int64), read(row, "copies" + e, np.int64), read(row, "grams" + e, np.uint64)) for e in ("", "_b"))
+        overlap = product((ga, na), (gb, nb)).astype(np.int64)
+        yield ca, ma, cb, mb, (100 * overlap >= percent * (na[:, None] + nb[None, :] - overlap)) & (ca[:, None] != cb[None, :]), overlap
+
+
+def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, n): links between classes that span every component, n null; and, b null, how many rows of other classes link with a's, in parts.
+
+    The spanning links are not all of a component's; all_links has them.
+    """
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda row, name, kind: np.frombuffer(row[name].as_buffer(), kind)
         for batch in batches:
-            kept = []
-            for i in range(batch.num_rows):
-                row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                (ca, na, ga), (cb, nb, gb) = ((read(row, "classes" + e, np.int64), read(row, "sizes" + e, np.int64), read(row, "grams" + e, np.uint64)) for e in ("", "_b"))
-                overlap = product((ga, na), (gb, nb)).astype(np.int64)
-                linked = 100 * overlap >= percent * (na[:, None] + nb[None, :] - overlap)
+            kept, classes, sums = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for ca, ma, cb, mb, linked, _ in _linked(batch, percent):
                 x, y = np.nonzero(linked)
-                kept += _forest(np.stack([x, len(ca) + y], axis=1)[ca[x] != cb[y]] if len(x) else np.empty((0, 2), int), np.concatenate([ca, cb]))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
+                kept += _forest(np.stack([x, len(ca) + y], axis=1), np.concatenate([ca, cb]))
+                both = [(ca, linked @ mb)] if np.array_equal(ca, cb) else [(ca, linked @ mb), (cb, ma @ linked)]
+                for c, n in both:
+                    classes.append(c[n > 0])
+                    sums.append(n[n > 0])
+            a, n = np.concatenate(classes), np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in kept] + a.tolist(), pa.int64()), pa.array([b for _, b in kept] + [None] * len(a), pa.int64()), pa.array([None] * len(kept) + n.tolist(), pa.int64())],
+                ["a", "b", "n"],
+            )
+
+    return _block_pairs(docs, members, words, percent, id_col, text_col).mapInArrow(multiply, "a bigint, b bigint, n bigint")
+
+
+def all_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, n_a, n_b, overlap): every pair of linked classes once, each class by the least id of its rows, with their sizes and overlap.
+
+    A class is all rows with the same n-grams; links between rows of one class aren't listed.
+    """
+    members = written(_members(docs, words, id_col, text_col))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ca, _, cb, _, linked, overlap in _linked(batch, percent):
+                x, y = np.nonzero(np.triu(linked) if np.array_equal(ca, cb) else linked)
+                yield pa.RecordBatch.from_arrays([pa.array(ca[x]), pa.array(cb[y]), pa.array(overlap[x, y])], ["class_a", "class_b", "overlap"])
 
-    wanted = ("classes", "sizes", "grams", "classes_b", "sizes_b", "grams_b")
-    return pairs.select(*wanted).mapInArrow(multiply, "a bigint, b bigint")
+    found = _block_pairs(docs, members, words, percent, id_col, text_col).mapInArrow(listed, "class_a bigint, class_b bigint, overlap bigint")
+    own = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
+    for e in ("a", "b"):
+        found = found.join(own.toDF(f"class_{e}", e, f"n_{e}"), f"class_{e}")
+    return found.select("a", "b", "n_a", "n_b", "overlap")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least id that links reach, its own included.
+    """(doc_id, n_shingles, component_id, n_links) of every row: the least id that links reach, its own included, and how many other rows link with it.
 
     Rows link when the overlap of their n-gram sets is at least percent / 100 of the union. Fewer words than an n-gram are
     one n-gram; a text without words, or null, has none and links with nothing. Rows of equal id and different text are
     documents of their own; a null id is never a component's id unless it is alone.
     """
     members = written(_members(docs, words, id_col, text_col))
-    roots = components(links(docs, members, words, percent, id_col, text_col))
-    classes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"))
-    rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
-    rooted = written(rooted.withColumn("component_id", F.min("least_id").over(Window.partitionBy("root"))).select("class", "component_id"))
-    return members.join(rooted, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = written(links(docs, members, words, percent, id_col, text_col))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    others = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
+    classes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).join(others, "class", "left")
+    rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "least_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rooted = written(rooted.withColumn("component_id", F.min("least_id").over(Window.partitionBy("root"))).select("class", "component_id", "n_links"))
+    joined = members.join(rooted, "class", "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

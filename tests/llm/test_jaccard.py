@@ -80,3 +80,28 @@ def test_sets_of_one_text_do_not_depend_on_others():
     for t, s in zip(texts, own.sets(texts), strict=True):
         assert s.tolist() == jaccard.Shingler(4).sets([t])[0].tolist()
     assert [len(s) for s in own.sets(texts)] == [0, 5, 1, 0, 1, 1]
+
+
+def test_links_of_every_row(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 150)  # several blocks in a cluster
+    monkeypatch.setattr(jaccard, "ROW_GRAMS", 1)
+    r = random.Random(8)
+    bases = [[f"b{b}w{i}" for i in range(r.randint(20, 60))] for b in range(4)]
+    rows = []
+    for i in range(80):
+        words = list(bases[i % 4])
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = "x%d" % r.randrange(5)
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(bases[0])) for i in range(5)] + [(300, None), (301, "alone here")]
+    sets = [frozenset(zip(w, w[1:], strict=False)) if len(w := (t or "").split()) > 1 else frozenset() for _, t in rows]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 70 * len(a | b)
+    want = {rows[i][0]: sum(i != j and linked(sets[i], sets[j]) for j in range(len(rows))) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.n_links for x in jaccard.near_duplicates(docs, 2, 70).collect()} == want
+    least = {}
+    for (k, _), s in zip(rows, sets, strict=True):
+        least.setdefault(s, k)
+    pairs = {(min(least[a], least[b]), max(least[a], least[b]), len(a & b)) for a in least for b in least if a != b and linked(a, b)}
+    got = [(min(x.a, x.b), max(x.a, x.b), x.overlap) for x in jaccard.all_links(docs, 2, 70).collect()]
+    assert sorted(got) == sorted(pairs) and len(pairs) > 100
