@@ -22,8 +22,8 @@ UNDETERMINED = "und"
 SIZES = (2, 3)
 #: A language contains an n-gram if it comes LEAST_COUNT times, and as often, in proportion, as RATIO of the most in any language.
 LEAST_COUNT, RATIO = 3, 0.2
-#: Cells set for each n-gram; cells for each n-gram; most cells.
-HASHES, CELLS_PER_GRAM, MOST_BITS = 3, 16, 20
+#: Cells set for each n-gram; cells for each n-gram at least.
+HASHES, CELLS_PER_GRAM = 3, 16
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
     most = share.groupBy("gram").agg(F.max("share").alias("most"))
     member = share.join(most, "gram").where((F.col("n") >= LEAST_COUNT) & (F.col("share") >= RATIO * F.col("most")))
     masks = member.groupBy("gram", (F.col("k") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, k % 64)")).alias("mask"))
-    bits = min(MOST_BITS, max(10, int(CELLS_PER_GRAM * masks.select("gram").distinct().count()).bit_length()))
+    bits = max(10, int(CELLS_PER_GRAM * masks.select("gram").distinct().count()).bit_length())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

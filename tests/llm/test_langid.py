@@ -58,3 +58,10 @@ def test_filters_have_no_false_negatives_and_the_expected_false_positives(spark)
     absent = np.arange(1, 20_000, dtype=np.int64) << 50
     mask = np.bitwise_and.reduce([model.table[c, 0] for c in langid._cells(absent, model.bits)])
     assert abs((mask >> np.uint64(k) & np.uint64(1)).mean() - model.false[k]) < 0.01
+
+
+def test_large_scripts_do_not_fill_the_filter(spark):
+    r = random.Random(0)
+    text = "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(80_000))  # about 160,000 n-grams
+    model = langid.fit(spark.createDataFrame([("zh", text)] * 3 + [("en", "some plain words here")] * 3, "lang string, text string"))
+    assert (model.table != 0).mean() < langid.HASHES / langid.CELLS_PER_GRAM and model.false.max() < 0.01
