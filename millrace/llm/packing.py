@@ -159,7 +159,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         fits = np.flatnonzero(count[size:capacity])
         if len(fits):
             # the change of the sum of squares by moving a bin from gap fits + size to gap fits; a full bin isn't open
-            change = 2 * np.where(fits > 0, count[fits] + 1, 0) - 2 * count[fits + size] - (fits == 0)
+            change = 2 * np.where(fits > 0, count[fits] + 1, 0) - 2 * count[fits + size] + (fits == 0)
             gap = int(fits[change.argmin()]) + size
             b = open_bins[gap].pop()
             count[gap] -= 1
