@@ -56,7 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
-    return packing.pack(pieces, SEQUENCE, docs.count())
+    return packing.pack(pieces, SEQUENCE)
 
 
 STAGES = [

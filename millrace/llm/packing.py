@@ -8,6 +8,7 @@ what groups lose at their ends is won back.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,9 +29,13 @@ GROUP_PIECES, LEAST_GROUPS = 16_384, 16
 MERGED_GROUPS = 64
 #: Chunks between white space whose ids a worker remembers.
 CACHE = 600_000
-#: Letters, then marks that no pattern of a tokenizer here joins to letters.
-PARTS = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+#: Letters that are composed and have one small form, then ASCII marks that no pattern of a tokenizer here joins to letters.
+PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 END = (0).to_bytes(4, "little")
+#: Kinds of bytes: white space, A-Z, a-z, closing marks, and those beyond ASCII.
+SPACE, UPPER, LOWER, MARK, WIDE = range(1, 6)
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b"\t\n\x0b\x0c\r ")], KINDS[65:91], KINDS[97:123], KINDS[list(b".,;:!?")], KINDS[128:] = SPACE, UPPER, LOWER, MARK, WIDE
 
 
 class ChunkTokenizer:
@@ -39,41 +44,47 @@ class ChunkTokenizer:
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_buffer(data)
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.tokenizer = self.words = Tokenizer.from_buffer(data)
+        kinds = [n["type"] for n in (json.loads(data)["normalizer"] or {}).get("normalizers", [])]
+        if kinds == ["NFC", "Replace", "Lowercase"]:  # which change nothing in words of small composed letters
+            self.words = Tokenizer.from_buffer(data)
+            self.words.normalizer = None
+            self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         specials = sorted((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.mark, self.mark_id = specials[0] if specials else ("", -1)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def encode_new(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Chunks of letters and closing marks by their parts, which many chunks share; the others whole.
+        """Chunks of Latin letters and closing marks by these two parts, which many share; the rest whole.
 
-        The tokenizer's pattern parts a run of letters from what follows it, and it lowers letters one by one, so a
-        lower-cased ASCII run yields the same ids.
+        The tokenizer's pattern parts a run of letters from what follows it, and a run of marks is one token for it.
         """
-        split = {c: (m[1].lower() if m[1].isascii() else m[1], m[2]) for c in chunks if (m := PARTS.fullmatch(c.decode())) and m[1].isalpha()}
-        if len(self.parts) > CACHE:
-            self.parts = dict(islice(self.parts.items(), CACHE // 2))
-        new = {x for pair in split.values() for x in pair} - self.parts.keys()
-        new.discard("")
-        self.parts[""] = b""
-        whole = [c for c in chunks if c not in split]
-        words = list(new)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64).astype("<u4")
+        words, split, rest = set(), {}, []
+        for c in chunks:
+            if c.isalpha() and c.islower():
+                words.add(c)
+            elif m := PARTS.fullmatch(c.decode()):
+                split[c] = m[1].lower().encode(), m[2].encode()
+            else:
+                rest.append(c)
+        words.update(a for a, _ in split.values())
+        ids = self.encode_words(list(words)) | self.encode_chunks([*({b for _, b in split.values()} - {b""}), *rest])
+        ids[b""] = b""
+        return ids | {c: ids[a] + ids[b] for c, (a, b) in split.items()}
+
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Runs of small Latin letters in one string, as each ends at a space for the tokenizer's pattern."""
+        ids = np.array(self.words.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64).astype("<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(words):  # each is one word for the tokenizer
-            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.parts.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
-            ids = self.encode_chunks(whole)
-        else:
-            ids = self.encode_chunks([w.encode() for w in words] + whole)
-            self.parts.update((w, ids[w.encode()]) for w in words)
-        out = {c: self.parts[a] + self.parts[b] for c, (a, b) in split.items()}
-        return ids | out
+        if len(ends) != len(words):  # some word is several for the tokenizer
+            return self.encode_chunks(words)
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
     def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Chunks go through the tokenizer in long strings, kept apart by a special token; those that might hold one go alone."""
@@ -102,12 +113,32 @@ class ChunkTokenizer:
         flush()
         return out
 
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The texts' bytes with fewer distinct chunks and the same ids: A-Z lowered, a mark between letter and white space set apart.
+
+        The tokenizer composes letters with accents before it lowers them, so a letter before a byte beyond ASCII stays. So
+        do slices in which a special token might stand, as case matters there.
+        """
+        data = [t.encode() for t in texts]
+        buffer = b"\n".join([*data, b""])
+        if not self.mark or self.mark[:2].encode() in buffer:
+            return data
+        code = np.frombuffer(buffer, np.uint8)
+        kind = KINDS[code]
+        after = np.append(kind[1:], 0)
+        code = code + np.where((kind == UPPER) & (after != WIDE), np.uint8(32), np.uint8(0))
+        apart = np.flatnonzero((kind[1:-1] == MARK) & ((kind[:-2] == LOWER) | (kind[:-2] == UPPER)) & (kind[2:] == SPACE)) + 1
+        out = np.insert(code, apart, 32).tobytes()
+        ends = np.cumsum([len(x) + 1 for x in data])
+        ends += np.searchsorted(apart, ends)
+        return [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]  # at ASCII white space; other white space stays for the tokenizer
+        split = [t.split() for t in self.plain(texts)]  # at ASCII white space; other white space stays for the tokenizer
         seen = set().union(*split)
-        new = seen - self.cache.keys()
+        new = [c for c in seen if c not in self.cache]
         full = len(self.cache) + len(new) > CACHE
-        self.cache.update(self.encode_new(list(new)))
+        self.cache.update(self.encode_new(new))
         out = [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
         if full:  # frequent chunks came first
             self.cache = dict(islice(self.cache.items(), CACHE // 2))
@@ -190,13 +221,14 @@ def _packed(pieces: DataFrame, group: str, capacity: int, high: int) -> DataFram
     return pieces.groupBy(group).applyInPandas(pack, schema)
 
 
-def pack(pieces: DataFrame, capacity: int, documents: int, id_col: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """pieces with sequence_id and offset: gapless from 0 in each sequence, none above the capacity.
 
-    documents: about how many pieces there are; it sets the number of groups alone. Rows are dealt to groups by a hash
-    of id and piece, so no source or copy group shares one. No rows yield no sequences.
+    Rows are dealt to groups of about GROUP_PIECES by a hash of id and piece, so no source or copy group shares one. No
+    rows yield no sequences. Columns named sequence_id, offset or gap are replaced.
     """
-    groups = max(LEAST_GROUPS, -(-documents // GROUP_PIECES))
+    pieces = written(pieces)
+    groups = max(LEAST_GROUPS, -(-pieces.count() // GROUP_PIECES))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "piece", "start", "ids_crc32"), F.lit(groups)))
     once = written(_packed(dealt, "_group", capacity, 0))
     again = once.where("gap > 0").withColumn("_group", F.expr(f"pmod(sequence_id >> 32, {-(-groups // MERGED_GROUPS)})"))

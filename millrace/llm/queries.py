@@ -61,7 +61,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
-    return packing.pack(pieces, 2048, docs.count())
+    return packing.pack(pieces, 2048)
 
 
 def queries() -> dict[str, Query]:
