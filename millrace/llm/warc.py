@@ -8,29 +8,75 @@ import html as html_entities
 import json
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "WARC/1.1"
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+VERSION, EPOCH = "WARC/1.1", "1970-01-01T00:00:00Z"
+#: Elements whose content isn't text, and tags that begin or end a line.
+SKIPPED = frozenset("script style noscript template".split())
+BREAKS = frozenset(
+    "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre "
+    "section table tbody td tfoot th thead title tr ul".split()
+)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+CLOSING = {name: re.compile(rf"</{name}(?![\w-])", re.I) for name in (*SKIPPED, "title")}
+HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def scan(page: str) -> tuple[str, str | None, list[str]]:
+    """The page's text, its title and the targets of its links, in one pass from tag to tag.
+
+    Comments and the content of SKIPPED go; a line begins and ends at each tag of BREAKS; other tags go without a trace.
+    Entities are resolved, white space is closed up. What is opened and never closed runs to the page's end, but an
+    unclosed tag is text. Every search that fails is made once, so time grows with the page's length.
+    """
+    out, links, title, at, unclosed = [], [], None, 0, set()
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if not (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in tuple("/!?")):
+            out.append("<")
+            at = start + 1
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            at = start
+            break
+        tag, at = page[start : end + 1], end + 1
+        name = m[1].lower() if (m := NAME.match(tag, 1)) else ""
+        if name in BREAKS:
+            out.append("\n")
+        if tag[1] == "/" or name in unclosed:
+            continue
+        if name == "a" and (m := HREF.search(tag)):
+            links.append(html_entities.unescape(m[1] or m[2] or m[3] or ""))
+        elif name in CLOSING:
+            close = CLOSING[name].search(page, at)
+            if name in SKIPPED:
+                at = close.start() if close else len(page)
+            elif not close:
+                unclosed.add(name)
+            elif title is None:
+                title = " ".join(html_entities.unescape(page[at : close.start()]).split())
+    out.append(page[at:])
+    lines = (" ".join(x.split()) for x in html_entities.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x), title, [x for x in links if x]
+
+
 def plain_text(page: str) -> str:
-    """The page's text: scripts, styles and comments gone, a line for each block, entities resolved, white space closed up."""
-    text = TAG.sub("", BREAKS.sub("\n", SKIPPED.sub("", page)))
-    lines = (" ".join(x.split()) for x in html_entities.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return scan(page)[0]
 
 
 def record(kind: str, record_id: str, date: str, content_type: str, block: bytes, **headers: str | None) -> bytes:
@@ -41,19 +87,82 @@ def record(kind: str, record_id: str, date: str, content_type: str, block: bytes
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a file; records end with two line breaks."""
-    out, at = [], 0
-    while data[at:].strip():
-        at += len(data[at:]) - len(data[at:].lstrip())
-        head, _, _ = data[at:].partition(b"\r\n\r\n")
-        headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        start = at + len(head) + 4
-        at = start + int(headers["Content-Length"])
-        out.append((headers, data[start:at]))
+def header_pairs(lines: Iterable[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines; one that begins with white space goes on with the one before, one without a colon is left out."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif colon and name.strip():
+            out.append((name.strip(), value.strip()))
     return out
 
 
+def by_name(pairs: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name; a repeated name has the list of its values."""
+    out: dict = {}
+    for name, value in pairs:
+        out[name] = value if name not in out else [*(out[name] if isinstance(out[name], list) else [out[name]]), value]
+    return out
+
+
+def first(pairs: list[tuple[str, str]], name: str) -> str | None:
+    """The first value of a header, whatever its name's case."""
+    return next((v for k, v in pairs if k.lower() == name.lower()), None)
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers, block) of each record of a file. What stands between records is passed over.
+
+    A block without a sound length, or shorter than it, runs to the end of the data.
+    """
+    at = 0
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        head = data[at : end if end >= 0 else len(data)]
+        pairs = header_pairs(head.decode("utf-8", "replace").split("\r\n")[1:])
+        start = end + 4 if end >= 0 else len(data)
+        size = first(pairs, "Content-Length") or ""
+        at = min(len(data), start + int(size)) if size.isascii() and size.isdigit() else len(data)
+        yield pairs, data[start:at]
+
+
+def parse(data: bytes) -> list[tuple[dict, bytes]]:
+    return [(by_name(pairs), block) for pairs, block in records(data)]
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:end].split(b";")[0], 16)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+        if not size:
+            break
+    return b"".join(out)
+
+
+def page_text(http: list[tuple[str, str]], body: bytes) -> str:
+    """The page of a response's body: chunks joined, gzip and deflate undone, decoded by the charset that headers or page name, else UTF-8.
+
+    What can't be undone stays as it is; bytes that can't be decoded become U+FFFD.
+    """
+    try:
+        if (first(http, "Transfer-Encoding") or "").lower() == "chunked":
+            body = _dechunked(body)
+        kind = (first(http, "Content-Encoding") or "").lower()
+        if kind in ("gzip", "x-gzip", "deflate"):
+            body = zlib.decompress(body, 47 if "gzip" in kind else 15)
+    except (ValueError, zlib.error):
+        pass
+    m = CHARSET.search(first(http, "Content-Type") or "") or CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        return body.decode(m[1] if m else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
 def _id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
 
@@ -66,24 +175,28 @@ def response(page_id: object, url: str | None, page: str | None, date: str) -> b
     return record("response", _id(page_id, url, digest(payload)), date, "application/http; msgtype=response", block, Target_URI=url, Payload_Digest=digest(payload))
 
 
-def derive(source: bytes) -> list[bytes]:
-    """The metadata and the conversion record of one response record."""
-    headers, block = parse(source)[0]
-    head, _, payload = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    page = payload.decode("utf-8", "replace")
-    title = TITLE.search(page)
-    links = [html_entities.unescape(next(x for x in m if x)) for m in LINK.findall(page) if any(m)]
-    own, date, url = headers["WARC-Record-ID"], headers["WARC-Date"], headers.get("WARC-Target-URI")
-    about = {"source": headers, "status": status, "http": dict(x.split(": ", 1) for x in lines if ": " in x), "title": " ".join(html_entities.unescape(title[1]).split()) if title else None, "links": links}
-    linked = {"Refers_To": own, "Refers_To_Date": date, "Refers_To_Target_URI": url, "Target_URI": url}
-    return [
-        record("metadata", _id(own, "metadata"), date, "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode(), **linked),
-        record("conversion", _id(own, "conversion"), date, "text/plain; charset=utf-8", plain_text(page).encode(), **linked, Source_Payload_Digest=headers.get("WARC-Payload-Digest")),
-    ]
-
-
-def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def derive(source: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes, bytes]]:
+    """(headers, metadata record, conversion record) of each response record in the source; other records yield none."""
+    for pairs, block in records(source):
+        if (first(pairs, "WARC-Type") or "").lower() != "response":
+            continue
+        head, _, payload = block.partition(b"\r\n\r\n")
+        status, *lines = head.decode("utf-8", "replace").split("\r\n")
+        http = header_pairs(lines)
+        text, title, links = scan(page_text(http, payload))
+        own, date, url = (first(pairs, f"WARC-{n}") for n in ("Record-ID", "Date", "Target-URI"))
+        own = own or _id("unnamed", digest(block))
+        about = {"source": by_name(pairs), "status": status, "http": by_name(http), "title": title, "links": links}
+        linked = {"Refers_To": own, "Refers_To_Date": date, "Refers_To_Target_URI": url, "Target_URI": url}
+        data = json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
+        yield (
+            pairs,
+            record("metadata", _id(own, "metadata"), date or EPOCH, "application/json", data, **linked),
+            record("conversion", _id(own, "conversion"), date or EPOCH, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), **linked, Source_Payload_Digest=first(pairs, "WARC-Payload-Digest")),
+        )
+
+
+def responses(pages: DataFrame, date: str = EPOCH) -> DataFrame:
     """(page_id, record binary): a response record of each page (page_id, url, html). Repeated rows give equal records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +208,22 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 
 
 def derivatives(sources: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Two rows for each response record: its metadata and its conversion, with the parts of their headers and the whole record."""
+    """Two rows for each response record in `record`: its metadata and its conversion, with parts of their headers and the whole record.
+
+    A record column that holds several WARC records yields two rows for each response among them, one that is null none.
+    """
     names = [id_col, "record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", "record"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                payload = parse(source.as_py())[0][0].get("WARC-Payload-Digest")
-                for made in derive(source.as_py()):
-                    h, _ = parse(made)[0]
-                    rows.append((key, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), payload, h["WARC-Block-Digest"], int(h["Content-Length"]), made.decode()))
+                for pairs, *made in derive(source.as_py() or b""):
+                    payload = first(pairs, "WARC-Payload-Digest")
+                    for one in made:
+                        ((h, _),) = records(one)
+                        columns = [first(h, n) for n in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI")]
+                        rows.append((key, *columns, payload, first(h, "WARC-Block-Digest"), int(first(h, "Content-Length")), one.decode()))
             kinds = [batch.schema.field(0).type, *[pa.string()] * 6, pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -118,12 +236,12 @@ def write_files(records: DataFrame, path: str) -> None:
 
 
 def read_files(records_path: str, spark) -> DataFrame:
-    """(headers map, block string) of every record of the files of a folder."""
+    """(headers map, block string) of every record of the files of a folder; of a repeated header the first. A file must fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = parse(data.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b.decode() for _, b in rows], pa.string())], ["headers", "block"])
+                rows = list(records(data.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([[*dict(reversed(h)).items()] for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b.decode("utf-8", "replace") for _, b in rows], pa.string())], ["headers", "block"])
 
     return spark.read.format("binaryFile").load(records_path).select("content").mapInArrow(run, "headers map<string,string>, block string")
