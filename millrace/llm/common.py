@@ -68,3 +68,25 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int, chars: int = SLICE
 def input_partitions(df: DataFrame) -> int:
     """A partition count for a shuffle that keeps what the session asks for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of one key that a spread join leaves together are at most this part of all rows.
+SPREAD = 512
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right by key, of which right has each value once; rows of hot keys are dealt to several tasks.
+
+    A key with more than 1 / SPREAD of the rows gets a number of parts, and its right row is copied to each. There are at most
+    SPREAD such keys, so their list is broadcast. counts: (key, n) of the left rows, if known; n is summed up.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.groupBy(key).agg(F.sum("n").alias("n"))
+    counts = written(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(64, total // SPREAD)
+    hot = F.broadcast(counts.where(F.col("n") > most).select(F.col(key), F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+    copied = right.join(hot, key, "left").withColumn("_part", parts).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
