@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import spread_join, text_slices, written
 
 #: Bits of the map of columns that several classes share, and of a column as it is sent; ranges that its columns are sorted in.
 MAP_BITS, COLUMN_BITS, RANGES = 26, 30, 64
@@ -197,11 +197,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = written(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")))
+        own = least.select("a", F.least("a", "least").alias("least"))
+        large = spread_join(both, own, "a", counts=least.select("a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = written(large.where("a <> b"))
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a")
+        least = written(large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")))
+        small = spread_join(large, least.select("a", "least"), "a", counts=least.select("a", "n"))
         edges = written(small.select("b", "least").union(least.select("a", "least")).toDF("a", "b").where("a <> b").distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
@@ -377,6 +378,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     others = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     classes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).join(others, "class", "left")
     rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "least_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rooted = written(rooted.withColumn("component_id", F.min("least_id").over(Window.partitionBy("root"))).select("class", "component_id", "n_links"))
-    joined = members.join(rooted, "class", "left")
+    rooted = written(rooted)
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = spread_join(rooted, least, "root").select("class", "component_id", "n_links")
+    joined = spread_join(members, rooted, "class", "left", counts=classes.select("class", F.col("copies").alias("n")))
     return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
