@@ -1,14 +1,14 @@
 """Exact top-k search by inner product with cover trees over queries and data.
 
-Vectors are dealt to cells around pivots, the top level of the tree, and cells to blocks; each block is a cover tree. A
-block of queries goes to the cells that its own top level can't rule out. Node pairs of two trees are taken by falling
-bound; a pair is pruned if its bound, from the centres' product and the covering radii, is under the worst kth score of
-the query node.
+Vectors are dealt to cells around pivots, the top level of the tree, and cells to blocks; each block is a cover tree whose
+level i covers within BASE ** i. A block of queries, a tree too, first searches its own cell, then, with the kth scores found
+there, the cells that it can't rule out. Each node of the query tree carries the data nodes left to it: a pair is pruned if
+its bound, from the centres' product and the covering radii, is under the worst kth score of the query node.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -21,104 +21,146 @@ from .common import input_partitions, written
 
 #: Vectors that pivots are chosen from and that bound each query's kth score from below; pivots at most.
 SAMPLE, PIVOTS = 1024, 64
-#: Vectors of a leaf; of a block at least and at most.
-LEAF, LEAST_BLOCK, MOST_BLOCK = 32, 64, 8192
+#: What a level's radius shrinks by to the next; vectors of a leaf; of a block at least and at most; scored at once.
+BASE, LEAF, LEAST_BLOCK, MOST_BLOCK, BATCH = 1.3, 8, 64, 4096, 512
 NONE = np.iinfo(np.int64).min
+LAST = np.iinfo(np.int64).max
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows, as 64-bit integers."""
+    """Exact inner products of rows of whole numbers, as 64-bit integers; what is beyond them is their end."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
+    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    return np.clip(whole(a) @ whole(b).T, NONE + 1, LAST).astype(np.int64)
 
 
 class Tree:
-    """A cover tree: a node's centre is a member, its radius covers its members, its children's centres cover within half."""
+    """A cover tree over rows of whole numbers, held as doubles.
+
+    A node's centre is a member of it. Its children's centres lie more than their level's radius from each other, and each
+    member within that radius of its child's centre; levels that would give one child are passed over. A leaf has LEAF
+    members at most, or equal ones. order: members by leaves; of a node: span of its members in that order, radius that
+    covers them, children (a range of nodes), and the distance to its parent's centre. places: of members in the input.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        points = vectors.astype(np.float64)
-        self.order: list[int] = []
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.span: list[list[int]] = []
-        self.children: list[list[int]] = []
-        self._grow(points, np.arange(len(ids)), 0)
-        order = np.array(self.order, np.int64)
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.centres, self.radii = points[np.array(self.centre, np.int64)], np.array(self.radius)
-        self.lengths = np.sqrt((self.centres**2).sum(axis=1))
-        del self.order, self.centre, self.radius
-
-    def _grow(self, points: np.ndarray, members: np.ndarray, centre: int) -> int:
-        away = np.sqrt(((points[members] - points[centre]) ** 2).sum(axis=1))
-        node, radius = len(self.centre), float(away.max())
-        self.centre.append(centre)
-        self.radius.append(radius)
-        self.span.append([len(self.order), 0])
-        self.children.append([])
-        groups: list[tuple[int, np.ndarray]] = []
-        if len(members) > LEAF and radius > 0:
-            rest, pivot, near = members, centre, away
+        norms = (vectors**2).sum(axis=1)
+        order, centre, radius, span, children, parent = [], [], [], [], [], []
+        levels: list[int] = []
+
+        def node(c: int, away: float) -> int:
+            centre.append(c)
+            parent.append(away)
+            for held in (radius, span, children, levels):
+                held.append(0)
+            return len(centre) - 1
+
+        todo = [(node(0, 0.0), np.arange(len(ids)), 0)]
+        while todo:
+            at, members, depth = todo.pop()
+            c = centre[at]
+            away = np.sqrt(((vectors[members] - vectors[c]) ** 2).sum(axis=1))
+            radius[at], levels[at] = float(away.max()), depth
+            span[at], children[at] = [len(order), len(order) + len(members)], [0, 0]
+            if len(members) <= LEAF or radius[at] == 0:
+                order += members.tolist()
+                continue
+            # the highest level that doesn't leave all in one child
+            reach = BASE ** (math.ceil(math.log(radius[at], BASE)) - 1)
+            groups, rest, far, near, pivot = [], members, away, away, c
             while True:
-                inside = near <= radius / 2
+                inside = near <= reach
+                inside[rest == pivot] = True
                 groups.append((pivot, rest[inside]))
-                rest, far = rest[~inside], away[~inside] if len(groups) == 1 else far[~inside]
-                if not len(rest) or len(groups) > len(members) // 8:
+                rest, far = rest[~inside], far[~inside]
+                if not len(rest):
                     break
                 pivot = int(rest[far.argmax()])
-                near = np.sqrt(((points[rest] - points[pivot]) ** 2).sum(axis=1))
-            if len(rest):  # too scattered to cover by halves
-                groups = []
-        if groups:
-            self.children[node] = [self._grow(points, own, pivot) for pivot, own in groups]
-        else:
-            self.order += members.tolist()
-        self.span[node][1] = len(self.order)
-        return node
+                near = np.sqrt(np.maximum(norms[rest] - 2 * (vectors[rest] @ vectors[pivot]) + norms[pivot], 0))
+                far = np.minimum(far, near)
+            children[at] = [len(centre), len(centre) + len(groups)]
+            new = [(node(p, float(np.sqrt(((vectors[p] - vectors[c]) ** 2).sum()))), own, depth + 1) for p, own in groups]
+            todo += new[::-1]  # so that a node's members follow one another
+        places = np.array(order, np.int64)
+        self.places, self.ids, self.vectors = places, ids[places], vectors[places]
+        self.centres, self.radii, self.parents = vectors[centre], np.array(radius, float), np.array(parent, float)
+        self.lengths = np.sqrt((self.centres**2).sum(axis=1))
+        self.span, self.children = np.array(span, np.int64).reshape(-1, 2), np.array(children, np.int64).reshape(-1, 2)
+        self.depth = max(levels) + 1
+
+
+def ranges(bounds: np.ndarray) -> np.ndarray:
+    """The numbers of some ranges (from, to), one range after another."""
+    sizes = bounds[:, 1] - bounds[:, 0]
+    return np.repeat(bounds[:, 0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def search(queries: Tree, data: Tree, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids), k a query, best first; NONE where there are fewer. floor: a kth score that each query has elsewhere, or NONE.
+def search(queries: Tree, data: Tree, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids, pairs scored), k a query, best first; NONE where there are fewer. floor: a kth score that each query has elsewhere, or NONE.
 
     Rows with the query's id aren't candidates. Ties go to the smaller id.
     """
     scores = np.full((len(queries.ids), k), NONE)
-    ids = np.full((len(queries.ids), k), np.iinfo(np.int64).max)
-    worst = floor.astype(np.float64)
+    ids = np.full((len(queries.ids), k), LAST)
+    worst = np.where(floor == NONE, -np.inf, floor.astype(np.float64))
+    scored = 0
 
-    def bounds(qs: list[int], ds: list[int]) -> np.ndarray:
-        b = (queries.centres[qs] * data.centres[ds]).sum(axis=1) + queries.lengths[qs] * data.radii[ds] + data.lengths[ds] * queries.radii[qs] + queries.radii[qs] * data.radii[ds]
-        return b + 1e-6 * (1 + np.abs(b))
+    def slack(q: int, nodes: np.ndarray) -> np.ndarray:
+        return 1e-6 + 1e-9 * (queries.lengths[q] + queries.radii[q]) * (data.lengths[nodes] + data.radii[nodes])
 
-    heap = [(-bounds([0], [0])[0], 0, 0)]
-    while heap:
-        bound, q, d = heapq.heappop(heap)
+    def bound(q: int, nodes: np.ndarray) -> np.ndarray:
+        spread = queries.lengths[q] * data.radii[nodes] + data.lengths[nodes] * queries.radii[q] + queries.radii[q] * data.radii[nodes]
+        return data.centres[nodes] @ queries.centres[q] + spread + slack(q, nodes)
+
+    def score(q: int, nodes: np.ndarray, best: np.ndarray) -> None:
+        """All members of query leaf q against those of data leaves, by falling bound."""
+        nonlocal scored
         q0, q1 = queries.span[q]
-        if -bound < worst[q0:q1].min():
-            continue
-        into_q, into_d = queries.children[q], data.children[d]
-        if into_q or into_d:
-            if into_q and (not into_d or queries.radii[q] > data.radii[d]):
-                qs, ds = into_q, [d] * len(into_q)
-            else:
-                qs, ds = [q] * len(into_d), into_d
-            for b, x, y in zip(bounds(qs, ds).tolist(), qs, ds, strict=True):
-                heapq.heappush(heap, (-b, x, y))
-            continue
-        d0, d1 = data.span[d]
-        new = products(queries.vectors[q0:q1], data.vectors[d0:d1])
-        own = queries.ids[q0:q1, None] == data.ids[None, d0:d1]
-        new[own] = NONE
-        all_ids = np.concatenate([ids[q0:q1], np.where(own, np.iinfo(np.int64).max, data.ids[None, d0:d1])], axis=1)
-        all_scores = np.concatenate([scores[q0:q1], new], axis=1)
-        best = np.lexsort((all_ids, -all_scores.astype(np.float64) if np.abs(new[~own]).max(initial=0) < 2**53 else -(all_scores // 2)), axis=1)[:, :k]
-        scores[q0:q1], ids[q0:q1] = np.take_along_axis(all_scores, best, axis=1), np.take_along_axis(all_ids, best, axis=1)
-        kth = scores[q0:q1, k - 1].astype(np.float64)
-        worst[q0:q1] = np.maximum(worst[q0:q1], np.where(scores[q0:q1, k - 1] == NONE, -np.inf, kth))
-    return scores, ids
+        order = np.argsort(-best)
+        nodes, best = nodes[order], best[order]
+        while len(nodes):
+            left = best >= worst[q0:q1].min()
+            nodes, best = nodes[left], best[left]
+            size = np.cumsum(data.span[nodes, 1] - data.span[nodes, 0])
+            n = max(1, int(np.searchsorted(size, BATCH, "right")))
+            rows = ranges(data.span[nodes[:n]])
+            nodes, best = nodes[n:], best[n:]
+            new = products(queries.vectors[q0:q1], data.vectors[rows])
+            scored += new.size
+            own = queries.ids[q0:q1, None] == data.ids[None, rows]
+            all_scores = np.concatenate([scores[q0:q1], np.where(own, NONE, new)], axis=1)
+            all_ids = np.concatenate([ids[q0:q1], np.where(own, LAST, data.ids[None, rows])], axis=1)
+            first = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~x falls as x rises
+            scores[q0:q1], ids[q0:q1] = np.take_along_axis(all_scores, first, axis=1), np.take_along_axis(all_ids, first, axis=1)
+            kth = scores[q0:q1, k - 1]
+            worst[q0:q1] = np.maximum(worst[q0:q1], np.where(kth == NONE, -np.inf, kth.astype(np.float64)))
+
+    todo = [(0, np.zeros(1, np.int64))]
+    while todo:
+        q, nodes = todo.pop()
+        q0, q1 = queries.span[q]
+        into = queries.children[q, 1] > queries.children[q, 0]
+        while len(nodes):
+            best = bound(q, nodes)
+            left = best >= worst[q0:q1].min()
+            nodes, best = nodes[left], best[left]
+            inner = (data.children[nodes, 1] > data.children[nodes, 0]) & ((data.radii[nodes] >= queries.radii[q]) | (not into))
+            if not inner.any():
+                break
+            children = ranges(data.children[nodes[inner]])
+            # what the parent's centre and the distance to it allow, before any product
+            above = np.repeat(nodes[inner], data.children[nodes[inner], 1] - data.children[nodes[inner], 0])
+            reach = data.parents[children] + data.radii[children]
+            most = (data.centres[nodes[inner]] @ queries.centres[q]).repeat(data.children[nodes[inner], 1] - data.children[nodes[inner], 0])
+            most = most + queries.lengths[q] * reach + queries.radii[q] * (data.lengths[above] + reach) + slack(q, above)
+            nodes = np.concatenate([nodes[~inner], children[most >= worst[q0:q1].min()]])
+        if len(nodes) and into:
+            todo += [(c, nodes) for c in range(*queries.children[q])]
+        elif len(nodes):
+            score(q, nodes, best)
+    return scores, ids, scored
 
 
 def _pivots(sample: np.ndarray) -> np.ndarray:
@@ -135,38 +177,41 @@ def _pivots(sample: np.ndarray) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer products with other rows; ties to the smaller id.
 
-    A component x counts as floor(scale * x). Vectors that are null or hold a null or non-finite component, null ids and
-    empty vectors take no part; vectors of other lengths aren't a query's candidates. Exactly repeated rows count once.
+    A component x counts as floor(scale * x), as a whole number of any size; scores beyond 64 bits are their end. Vectors
+    that are null or hold a null or non-finite component, null ids and empty vectors take no part; vectors of other lengths
+    aren't a query's candidates, nor are rows of its id. Repeated rows are candidates each; as queries they are answered once.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col)
-    sound = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**50)))
-    whole = F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
-    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(x).alias("dim")).distinct()
-    sample = {}  # of distinct rows, as the candidates are: a copy must not raise a floor
+    sound = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    scaled = F.transform(x, lambda v: F.lit(scale) * v.cast("double"))
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(x).alias("dim"))
+    sample = {}
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "dim").collect():
         sample.setdefault(r["dim"], []).append((r["id"], r["v"]))
-    sample = {d: (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64)) for d, own in sample.items()}
-    sent = spark.sparkContext.broadcast({d: (i, v, _pivots(v.astype(np.float64))) for d, (i, v) in sample.items()})
+    sample = {d: (np.array([i for i, _ in own], np.int64), np.floor(np.array([v for _, v in own], float))) for d, own in sample.items()}
+    sent = spark.sparkContext.broadcast({d: (i, v, _pivots(v)) for d, (i, v) in sample.items()})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(3).to_numpy()
             cells, away = np.zeros(len(dims), np.int64), np.zeros(len(dims))
-            lists = batch.column(1).to_pylist()
+            flat = np.floor(batch.column(1).flatten().to_numpy())
+            start = np.cumsum(dims, dtype=np.int64) - dims
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                v = np.array([lists[i] for i in at], np.float64)
+                v = flat[start[at][:, None] + np.arange(dim)]
                 pivots = sent.value[dim][2] if dim in sent.value else np.zeros((1, dim))
                 d = (v**2).sum(axis=1)[:, None] - 2 * v @ pivots.T + (pivots**2).sum(axis=1)[None, :]
                 cells[at] = d.argmin(axis=1)
                 away[at] = np.sqrt(((v - pivots[cells[at]]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32)), pa.array(away)], [*batch.schema.names, "cell", "away"])
+            whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(dims)).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), whole, *batch.columns[2:], pa.array(cells.astype(np.int32)), pa.array(away)], [*batch.schema.names, "cell", "away"])
 
-    placed = written(rows.mapInArrow(assign, "id bigint, v array<bigint>, q boolean, dim int, cell int, away double"))
+    placed = written(rows.mapInArrow(assign, "id bigint, v array<double>, q boolean, dim int, cell int, away double"))
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if("q").alias("nq")).collect()
     total = sum(r["n"] for r in cells)
-    size = min(MOST_BLOCK, max(LEAST_BLOCK, total // (2 * input_partitions(vectors))))
+    size = min(MOST_BLOCK, max(LEAST_BLOCK, total // input_partitions(vectors)))
     layout = [(r["dim"], r["cell"], -(-r["n"] // size), -(-max(1, r["nq"]) // size)) for r in cells]
     table = F.broadcast(spark.createDataFrame(layout, "dim int, cell int, blocks int, query_blocks int"))  # PIVOTS rows a length
     reach = spark.sparkContext.broadcast({(r["dim"], r["cell"]): (r["radius"], -(-r["n"] // size)) for r in cells})
@@ -175,50 +220,84 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
     def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = rows["id"].to_numpy()
         v = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        order = np.lexsort((*v.T[:1], ids))
+        order = np.lexsort((*v.T[::-1], ids))
         return ids[order], v[order]
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         tree = pickle.dumps(Tree(*read(rows)))
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "data": pa.array([tree], pa.binary())})
 
-    def pack_queries(key: tuple, rows: pa.Table) -> pa.Table:
-        """The tree of a query block, its queries' floors, and the data blocks of the cells that it can't rule out."""
-        dim = key[0].as_py()
-        tree = Tree(*read(rows))
-        floor = np.full(len(tree.ids), NONE)
-        known, v, pivots = sent.value.get(dim, (np.empty(0, np.int64), np.empty((0, dim), np.int64), np.zeros((1, dim))))
-        if len(known) > k:
-            found = products(tree.vectors, v)
-            found[tree.ids[:, None] == known[None, :]] = NONE
-            floor = np.sort(found, axis=1)[:, -k]
-        targets = []
-        for (d, cell), (radius, blocks) in reach.value.items():
-            if d == dim:
-                bound = tree.centres[0] @ pivots[cell] + tree.lengths[0] * radius + np.sqrt((pivots[cell] ** 2).sum()) * tree.radii[0] + radius * tree.radii[0]
-                if bound + 1e-6 * (1 + abs(bound)) >= floor.min():
-                    targets += [(cell, b) for b in range(blocks)]
-        m = len(targets)
-        return pa.table({"dim": pa.array([dim] * m, pa.int32()), "cell": pa.array([c for c, _ in targets], pa.int32()), "block": pa.array([b for _, b in targets], pa.int32()), "queries": pa.array([pickle.dumps((tree, floor))] * m, pa.binary())})
-
-    schema = "dim int, cell int, block int"
-    data = dealt.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int")).select("dim", "cell", "block", "id", "v").groupBy("dim", "cell", "block").applyInArrow(pack, f"{schema}, data binary")
-    queries = dealt.where("q").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("query_blocks")).cast("int")).select("dim", "cell", "block", "id", "v").groupBy("dim", "cell", "block").applyInArrow(pack_queries, f"{schema}, queries binary")
+    def aim(nearest: bool):
+        """Turns a block of queries into its tree and floors, a row for each data block of its own cell, or of the others that it can't rule out."""
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            dim, own = key[0].as_py(), key[1].as_py()
+            rows = rows.sort_by([("id", "ascending"), ("version", "ascending")])
+            ids, version = rows["id"].to_numpy(), rows["version"].to_numpy()
+            v = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            new = np.append(True, (ids[1:] != ids[:-1]) | (version[1:] != version[:-1]))
+            tree = Tree(ids[new], v[new])
+            floor = rows["floor"].to_numpy()[new][tree.places]
+            known, v, pivots = sent.value.get(dim, (np.empty(0, np.int64), np.empty((0, dim)), np.zeros((1, dim))))
+            if len(known) >= k:
+                found = products(tree.vectors, v)
+                found[tree.ids[:, None] == known[None, :]] = NONE
+                floor = np.maximum(floor, np.sort(found, axis=1)[:, -k])
+            to = []
+            for (d, cell), (radius, blocks) in reach.value.items():
+                if d == dim and (cell == own) == nearest:
+                    length = np.sqrt((pivots[cell] ** 2).sum())
+                    most = tree.centres[0] @ pivots[cell] + tree.lengths[0] * radius + length * tree.radii[0] + radius * tree.radii[0]
+                    if nearest or most + 1e-6 + 1e-9 * (tree.lengths[0] + tree.radii[0]) * (length + radius) >= floor.min():
+                        to += [(cell, b) for b in range(blocks)]
+            columns = [pa.array([dim] * len(to), pa.int32())] + [pa.array([t[i] for t in to], pa.int32()) for i in (0, 1)]
+            queries = pickle.dumps((tree, version[new][tree.places], floor))
+            return pa.table([*columns, pa.array([queries] * len(to), pa.binary())], ["dim", "cell", "block", "queries"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
         for batch in batches:
-            found = []
-            for q, d in zip(batch.column(0), batch.column(1), strict=True):
-                own, floor = pickle.loads(q.as_py())
-                if (raw := d.as_py()) != last:
-                    last, tree = raw, pickle.loads(raw)
-                scores, ids = search(own, tree, k, floor)
+            for q, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, version, floor = pickle.loads(q)
+                if d != last:
+                    last, tree = d, pickle.loads(d)
+                scores, ids, _ = search(own, tree, k, floor)
                 keep = (scores != NONE) & (scores >= floor[:, None])
-                found.append((np.repeat(own.ids, keep.sum(axis=1)), ids[keep], scores[keep]))
-            columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                which = np.repeat(np.arange(len(own.ids)), keep.sum(axis=1))
+                columns = [own.ids[which], version[which], ids[keep], scores[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "version", "vec_id", "score"])
+
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    cut = dealt.withColumn("block", block("blocks")).select("dim", "cell", "block", "id", "v")
+    data = written(cut.groupBy("dim", "cell", "block").applyInArrow(pack, "dim int, cell int, block int, data binary"))
+    queries = dealt.where("q").select("dim", "cell", block("query_blocks").alias("part"), "id", "v", F.xxhash64("v").alias("version"))
+    order = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
+
+    def found(queries: DataFrame, nearest: bool) -> DataFrame:
+        sought = queries.groupBy("dim", "cell", "part").applyInArrow(aim(nearest), "dim int, cell int, block int, queries binary")
+        met = sought.join(data, ["dim", "cell", "block"]).select("queries", "data")
+        return met.mapInArrow(run, "query_id bigint, version bigint, vec_id bigint, score bigint")
 
-    found = queries.join(data, ["dim", "cell", "block"]).select("queries", "data").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    near = written(best(found(queries.withColumn("floor", F.lit(NONE)), True)).drop("rank"))
+    kth = near.groupBy(F.col("query_id").alias("id"), "version").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    floored = queries.join(kth.drop("n"), ["id", "version"], "left").withColumn("floor", F.coalesce("kth", F.lit(NONE))).drop("kth")
+    return best(near.unionByName(found(floored, False))).select("query_id", "rank", "vec_id", "score")
+
+
+#: DuckDB SQL for op2_cover_tree_top_k over embeddings.
+ORACLE_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_templates": line_templates.ORACLE_SQL}
+    return {"op2_cover_tree_top_k": cover_tree.ORACLE_SQL, "op9_line_templates": line_templates.ORACLE_SQL}
