@@ -70,16 +70,19 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of one key that a spread join leaves together are at most this part of all rows.
-SPREAD = 512
+#: Rows of one key that a spread join leaves together are at most this part of all rows; rows of a table of numbers and digests that is broadcast, at most.
+SPREAD, FEW = 512, 500_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, narrow: bool = False) -> DataFrame:
     """left joined with right by key, of which right has each value once; rows of hot keys are dealt to several tasks.
 
     A key with more than 1 / SPREAD of the rows gets a number of parts, and its right row is copied to each. There are at most
-    SPREAD such keys, so their list is broadcast. counts: (key, n) of the left rows, if known; n is summed up.
+    SPREAD such keys, so their list is broadcast. counts: (key, n) of the left rows, if known; n is summed up. narrow: right
+    is written and holds numbers and digests alone, so it is broadcast as a whole if it has FEW rows at most.
     """
+    if narrow and right.count() <= FEW:
+        return left.join(F.broadcast(right), key, how)
     counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.groupBy(key).agg(F.sum("n").alias("n"))
     counts = written(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
