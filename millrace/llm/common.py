@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there and any executor can read it."""
     path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
