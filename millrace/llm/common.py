@@ -15,17 +15,16 @@ from pyspark.sql import functions as F
 #: Characters of text that one pass of a numpy kernel looks at; bounds a worker's memory.
 SLICE_CHARS = 1_000_000
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -45,10 +44,6 @@ def remainder(key: Column | str, of: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(of), F.lit(0)).cast("int")
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def text_slices(batches: Iterable[pa.RecordBatch], text: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with their texts (null: empty); each holds about `chars` characters, a longer text alone."""
     for batch in batches:
