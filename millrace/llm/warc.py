@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import html as html_entities
 import json
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -24,6 +26,7 @@ BREAKS = frozenset(
 )
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 CLOSING = {name: re.compile(rf"</{name}(?![\w-])", re.I) for name in (*SKIPPED, "title")}
+LEADS = frozenset(string.ascii_letters + "/!?")
 HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
@@ -32,6 +35,13 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+@functools.lru_cache(4096)
+def tag_of(tag: str) -> tuple[bool, str]:
+    """Whether a tag breaks the line, and its name if it opens an element that needs more than that."""
+    name = m[1].lower() if (m := NAME.match(tag, 1)) else ""
+    return name in BREAKS, name if tag[1] != "/" and (name == "a" or name in CLOSING) else ""
+
+
 def scan(page: str) -> tuple[str, str | None, list[str]]:
     """The page's text, its title and the targets of its links, in one pass from tag to tag.
 
@@ -42,11 +52,12 @@ def scan(page: str) -> tuple[str, str | None, list[str]]:
     out, links, title, at, unclosed = [], [], None, 0, set()
     while (start := page.find("<", at)) >= 0:
         out.append(page[at:start])
-        if page.startswith("<!--", start):
+        lead = page[start + 1 : start + 2]
+        if lead == "!" and page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = len(page) if end < 0 else end + 3
             continue
-        if not (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in tuple("/!?")):
+        if lead not in LEADS:
             out.append("<")
             at = start + 1
             continue
@@ -55,14 +66,14 @@ def scan(page: str) -> tuple[str, str | None, list[str]]:
             at = start
             break
         tag, at = page[start : end + 1], end + 1
-        name = m[1].lower() if (m := NAME.match(tag, 1)) else ""
-        if name in BREAKS:
+        breaks, name = tag_of(tag) if len(tag) < 64 else tag_of.__wrapped__(tag)
+        if breaks:
             out.append("\n")
-        if tag[1] == "/" or name in unclosed:
+        if not name or name in unclosed:
             continue
         if name == "a" and (m := HREF.search(tag)):
             links.append(html_entities.unescape(m[1] or m[2] or m[3] or ""))
-        elif name in CLOSING:
+        elif name != "a":
             close = CLOSING[name].search(page, at)
             if name in SKIPPED:
                 at = close.start() if close else len(page)
