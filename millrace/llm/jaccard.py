@@ -1,7 +1,7 @@
 """An exact Jaccard join of documents by word n-grams, as a blocked sparse matrix product.
 
-Rows of the incidence matrix are the distinct n-gram sets (equal sets are one class), columns the n-grams. Columns that
-one class alone has can't add to an overlap; among the others, two classes that reach the threshold must share a column of
+Rows of the incidence matrix are the distinct n-gram sets (equal sets are one class, and one row of it is read after the
+classes are known), columns the n-grams. Columns that one class alone has can't add to an overlap; among the others, two classes that reach the threshold must share a column of
 their size-derived prefixes. Classes that share prefix columns form clusters; within a cluster, rows are blocked by size
 and hash, block pairs whose sizes can't reach the threshold are never formed, and the product of two blocks accumulates
 all overlap counts. N-grams are 64-bit hashes, classes too (of the whole set).
@@ -15,13 +15,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread_join, text_slices, written
 
-#: Bits of the map of columns that several classes share, and of a column as it is sent; ranges that its columns are sorted in.
-MAP_BITS, COLUMN_BITS, RANGES = 26, 30, 64
+#: Widths in bits of the map of columns that several classes share, at least and at most; between, it grows with the n-grams. A map of classes is as wide.
+LEAST_BITS, MOST_BITS = 22, 29
+#: N-grams that are sorted together by a task; classes from which a column counts as hot and comes last in the order.
+SORTED, HOT = 3_000_000, 16
 #: N-grams of a block, about; those that a row counts as besides its own; columns of a dense product.
 BLOCK_GRAMS, ROW_GRAMS, COLUMNS = 200_000, 200, 8_192
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +89,53 @@ def _class_of(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def _bits_of(n: int, each: int) -> int:
+    """The width of a map for n entries with about 2 ** each bits for each."""
+    return min(MOST_BITS, max(LEAST_BITS, int(n).bit_length() + each))
+
+
+def _bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A map, `bits` wide, in which the leading bits of the 64-bit hashes (h bigint) are set."""
+
+    def fill(rows: pa.Table) -> pa.Table:
+        own = np.zeros(1 << (bits - 6), np.uint8)
+        own[(rows["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64(len(own) - 1)] = 1
+        return pa.table({"range": pa.array([rows["range"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    out = np.zeros((64, 1 << (bits - 9)), np.uint8)
+    ranged = hashes.select("h", F.shiftrightunsigned("h", 58).cast("int").alias("range"))
+    for r in ranged.groupBy("range").applyInArrow(fill, "range int, bits binary").toLocalIterator():
+        out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in a map."""
+    place = (hashes >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _row_hash(classes: np.ndarray, ids: pa.Array) -> np.ndarray:
+    return _mix(classes.view(np.uint64) * _K ^ _mix(ids.cast(pa.int64()).fill_null(0).to_numpy().view(np.uint64)))
+
+
+def _first_rows(classes: DataFrame, n: int) -> np.ndarray:
+    """A map of one row of each class, by class and id. Another row that is found in it costs a stage a row, never a link."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_row_hash(batch.column(0).to_numpy(), batch.column(1)).view(np.int64))], ["h"])
+
+    return _bit_map(classes.select("class", "least_id").mapInArrow(hashed, "h bigint"), _bits_of(n, 3))
+
+
+def _one_each(first: np.ndarray, ids: pa.Array, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) of the rows that stand for their class."""
+    classes = np.array([_class_of(s) for s in sets], np.int64)
+    keep = _set(first, _row_hash(classes, ids))
+    return ((c, s) for c, s, own in zip(classes.tolist(), sets, keep.tolist(), strict=True) if own and len(s))
+
+
 def _mapped(docs: DataFrame, words: int, id_col: str, text_col: str, schema: str, one: Callable) -> DataFrame:
     """one(ids, sets) gives the columns of a slice's rows."""
     names = [f.split()[0].strip("`") for f in schema.split(", ")]
@@ -121,69 +171,76 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (np.cumsum(steps.astype(np.int64)) - 1)[steps != 0xFFFF]
 
 
-def _shared_columns(docs: DataFrame, words: int, id_col: str, text_col: str) -> np.ndarray:
-    """A bit map, MAP_BITS wide by hash, in which every column that comes in two rows or more is set.
+def _shared_columns(docs: DataFrame, first: Broadcast, n_grams: int, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit maps by hash: every column that comes in two classes or more is set in one, those in HOT or so in the other.
 
-    Partitions send COLUMN_BITS bits of each column, sorted and packed by range; what comes twice in one, or meets another,
-    is set. A bit that is set without need costs a later stage a row, never a link.
+    Tasks send the leading bits of each column, sorted and packed by range; what comes twice in one, or meets another, is
+    set. A bit that is set without need costs a later stage a row, never a link.
     """
-    low = COLUMN_BITS - 6  # bits within a range
+    map_bits = _bits_of(n_grams, 1)
+    hot_bits, column_bits = max(LEAST_BITS, map_bits - 3), max(26, int(n_grams).bit_length() + 4)
+    range_bits = min(12, max(6, (int(n_grams) // 4_000_000).bit_length()))
+    low, ranges = column_bits - range_bits, 1 << range_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, size = Shingler(words), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = np.sort(np.concatenate(held))
-            twice = np.unique(found[1:][found[1:] == found[:-1]])
-            for part, often in ((np.unique(found), False), (twice, True)):
-                cuts = np.searchsorted(part, np.arange(1, RANGES) << low)
-                packed = [_packed(x & ((1 << low) - 1)) for x in np.split(part.astype(np.int64), cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([often] * RANGES), pa.array(packed, pa.binary())], ["range", "often", "packed"])
-
-        for _, texts in text_slices(batches, 0):
-            for s in own.sets(texts):
-                held.append((s >> np.uint64(64 - COLUMN_BITS)).astype(np.uint32))
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            for least in (1, 2, HOT):
+                part = found[n >= least]
+                cuts = np.searchsorted(part, np.arange(1, ranges, dtype=np.uint64) << np.uint64(low))
+                packed = [_packed(x & np.uint64((1 << low) - 1)) for x in np.split(part, cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([least] * ranges, pa.int32()), pa.array(packed, pa.binary())], ["range", "least", "packed"])
+
+        for batch, texts in text_slices(batches, 1):
+            for _, s in _one_each(first.value, batch.column(0), own.sets(texts)):
+                held.append(s >> np.uint64(64 - column_bits))
                 size += len(s)
-            if size > 4_000_000:
+            if size > SORTED:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
     def merge(rows: pa.Table) -> pa.Table:
-        """Columns of one range that come twice, as the places of their bits."""
-        parts = [(often.as_py(), _unpacked(x.as_py()).astype(np.uint32)) for often, x in zip(rows["often"], rows["packed"], strict=True)]
-        found = np.sort(np.concatenate([x for _, x in parts]))
-        twice = np.concatenate([found[1:][found[1:] == found[:-1]], *(x for often, x in parts if often)])
-        bits = np.zeros(1 << (MAP_BITS - 6), np.uint8)
-        bits[twice >> (COLUMN_BITS - MAP_BITS)] = 1
-        return pa.table({"range": pa.array([rows["range"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    rows = docs.select(text_col).mapInArrow(run, "range int, often boolean, packed binary").groupBy("range").applyInArrow(merge, "range int, bits binary").collect()
-    out = np.zeros((RANGES, 1 << (MAP_BITS - 9)), np.uint8)
-    for r in rows:
-        out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+        """Columns of one range that come twice, and hot ones, as the places of their bits."""
+        parts = {1: [], 2: [], HOT: []}
+        for least, x in zip(rows["least"].to_pylist(), rows["packed"], strict=True):
+            parts[least].append(_unpacked(x.as_py()))
+        found = np.sort(np.concatenate(parts[1]))
+        again = lambda k: found[k:][found[k:] == found[:-k]]
+        out = []
+        for bits, columns in ((map_bits, [again(1), *parts[2]]), (hot_bits, [again(HOT - 1), *parts[HOT]])):
+            own = np.zeros(1 << (bits - range_bits), np.uint8)
+            own[np.concatenate(columns) >> (column_bits - bits)] = 1
+            out.append(pa.array([np.packbits(own).tobytes()], pa.binary()))
+        return pa.table([pa.array([rows["range"][0].as_py()], pa.int32()), *out], ["range", "shared", "hot"])
 
+    rows = docs.select(id_col, text_col).mapInArrow(run, "range int, least int, packed binary").groupBy("range").applyInArrow(merge, "range int, shared binary, hot binary")
+    shared, hot = (np.zeros((ranges, 1 << (bits - range_bits - 3)), np.uint8) for bits in (map_bits, hot_bits))
+    for r in rows.toLocalIterator():
+        shared[r["range"]], hot[r["range"]] = np.frombuffer(r["shared"], np.uint8), np.frombuffer(r["hot"], np.uint8)
+    return shared.ravel(), hot.ravel()
 
-def _prefixes(docs: DataFrame, shared: np.ndarray, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(column, class): the shared columns in the prefix of each row. Columns without a bit come first in the order of all columns, then by hash."""
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
+
+def _prefixes(docs: DataFrame, first: Broadcast, maps: tuple[np.ndarray, np.ndarray], words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(column, class): the shared columns in the prefix of each class. In the order of all columns those without a bit come first, hot ones last, then by hash."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
 
     def one(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
         columns, classes = [], []
-        for s in sets:
-            if not len(s):
-                continue
-            place = (s >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            common = s[(sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)]
+        shared, hot = sent.value
+        for c, s in _one_each(first.value, ids, sets):
+            common = s[_set(shared, s)]
             # any partner shares at least the overlap that the smallest allowed partner needs
             prefix = len(s) - -(-percent * len(s) // 100) + 1
             own = max(0, prefix - (len(s) - len(common)))
             if own:
-                order = _mix(common ^ _K)  # not the order of the bits
+                order = _mix(common ^ _K) >> np.uint64(1)  # not the order of the bits
+                order |= _set(hot, common).astype(np.uint64) << np.uint64(63)
                 columns.append(common[np.argpartition(order, own - 1)[:own]] if own < len(common) else common)
-                classes.append(np.full(len(columns[-1]), _class_of(s), np.int64))
+                classes.append(np.full(len(columns[-1]), c, np.int64))
         if not columns:
             return [pa.array([], pa.int64()), pa.array([], pa.int64())]
         return [pa.array(np.concatenate(columns).view(np.int64)), pa.array(np.concatenate(classes))]
@@ -255,39 +312,35 @@ def _forest(pairs: np.ndarray, classes: np.ndarray) -> list[tuple[int, int]]:
 _PARTS = ("classes", "sizes", "copies", "grams")
 
 
-def _block_pairs(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _classes(members: DataFrame) -> DataFrame:
+    """(class, n_shingles, least_id, copies) of every class."""
+    sums = (F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    return written(members.where("class IS NOT NULL").groupBy("class").agg(*sums))
+
+
+def _block_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs of blocks that can hold links, each block its classes, their sizes, copies and n-grams; a block meets itself once."""
     spark = docs.sparkSession
-    shared = _shared_columns(docs, words, id_col, text_col)
-    prefixes = written(_prefixes(docs, shared, words, percent, id_col, text_col).distinct())
+    total = sizes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("grams")).first()
+    first = spark.sparkContext.broadcast(_first_rows(sizes, total["classes"]))
+    maps = _shared_columns(docs, first, total["grams"], words, id_col, text_col)
+    prefixes = written(_prefixes(docs, first, maps, words, percent, id_col, text_col).distinct())
     hubs = prefixes.groupBy("column").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last").select("column", "a")
     clusters = written(components(prefixes.join(hubs, "column").select("a", F.col("class").alias("b"))))
     step = -math.log(percent / 100) if percent < 100 else 1.0
-    sizes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("n_shingles").alias("n"), F.count("*").alias("copies"))
+    sizes = sizes.select("class", F.col("n_shingles").alias("n"), "copies")
     # a class of size n links with sizes from n * percent / 100 up: its own band or the next
     banded = written(clusters.join(sizes, clusters.node == sizes["class"]).select("root", "class", "n", "copies", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) - F.lit(1e-9)).cast("int").alias("band")))
     cells = banded.groupBy("root", "band").agg(F.sum(F.col("n") + ROW_GRAMS).alias("grams"))
     blocked = written(banded.join(cells, ["root", "band"]).select("class", "copies", "root", "band", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int").alias("block")))
 
-    # the n-grams of clustered classes alone leave the documents: a bit map of fixed size tells most others apart
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(3)).astype(np.int64)), pa.array((1 << (7 - (place & np.uint64(7)))).astype(np.int32))], ["at", "bit"])
-
-    known = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    found = blocked.select("class").mapInArrow(bits_of, "at bigint, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    known[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint8)
-    sent = spark.sparkContext.broadcast(known)
+    # the n-grams of clustered classes alone leave the documents: a bit map tells most others apart
+    known = spark.sparkContext.broadcast(_bit_map(blocked.select(F.col("class").alias("h")), _bits_of(blocked.count(), 3)))
 
     def one(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        keep = {}
-        for s in sets:
-            if len(s):
-                c = _class_of(s)
-                place = (c % (1 << 64)) >> (64 - MAP_BITS)
-                if sent.value[place >> 3] >> (7 - (place & 7)) & 1:
-                    keep[c] = s.tobytes()
+        keep = dict(_one_each(first.value, ids, sets))
+        found = _set(known.value, np.array(list(keep), np.int64).view(np.uint64)).tolist()
+        keep = {c: s.tobytes() for (c, s), own in zip(keep.items(), found, strict=True) if own}
         return [pa.array(keep.keys(), pa.int64()), pa.array(keep.values(), pa.binary())]
 
     rows = _mapped(docs, words, id_col, text_col, "class bigint, grams binary", one).join(blocked, "class")
@@ -320,7 +373,7 @@ def _linked(batch: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, .
         yield ca, ma, cb, mb, (100 * overlap >= percent * (na[:, None] + nb[None, :] - overlap)) & (ca[:, None] != cb[None, :]), overlap
 
 
-def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b, n): links between classes that span every component, n null; and, b null, how many rows of other classes link with a's, in parts.
 
     The spanning links are not all of a component's; all_links has them.
@@ -342,7 +395,7 @@ def links(docs: DataFrame, members: DataFrame, words: int, percent: int, id_col:
                 ["a", "b", "n"],
             )
 
-    return _block_pairs(docs, members, words, percent, id_col, text_col).mapInArrow(multiply, "a bigint, b bigint, n bigint")
+    return _block_pairs(docs, sizes, words, percent, id_col, text_col).mapInArrow(multiply, "a bigint, b bigint, n bigint")
 
 
 def all_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,8 +411,9 @@ def all_links(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
                 x, y = np.nonzero(np.triu(linked) if np.array_equal(ca, cb) else linked)
                 yield pa.RecordBatch.from_arrays([pa.array(ca[x]), pa.array(cb[y]), pa.array(overlap[x, y])], ["class_a", "class_b", "overlap"])
 
-    found = _block_pairs(docs, members, words, percent, id_col, text_col).mapInArrow(listed, "class_a bigint, class_b bigint, overlap bigint")
-    own = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"))
+    classes = _classes(members)
+    found = _block_pairs(docs, classes, words, percent, id_col, text_col).mapInArrow(listed, "class_a bigint, class_b bigint, overlap bigint")
+    own = classes.select("class", F.col("least_id").alias("id"), F.col("n_shingles").alias("n"))
     for e in ("a", "b"):
         found = found.join(own.toDF(f"class_{e}", e, f"n_{e}"), f"class_{e}")
     return found.select("a", "b", "n_a", "n_b", "overlap")
@@ -373,10 +427,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     documents of their own; a null id is never a component's id unless it is alone.
     """
     members = written(_members(docs, words, id_col, text_col))
-    found = written(links(docs, members, words, percent, id_col, text_col))
+    sizes = _classes(members)
+    found = written(links(docs, sizes, words, percent, id_col, text_col))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     others = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
-    classes = members.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).join(others, "class", "left")
+    classes = sizes.join(others, "class", "left")
     rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "least_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     rooted = written(rooted)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -105,3 +105,35 @@ def test_links_of_every_row(spark, monkeypatch):
     pairs = {(min(least[a], least[b]), max(least[a], least[b]), len(a & b)) for a in least for b in least if a != b and linked(a, b)}
     got = [(min(x.a, x.b), max(x.a, x.b), x.overlap) for x in jaccard.all_links(docs, 2, 70).collect()]
     assert sorted(got) == sorted(pairs) and len(pairs) > 100
+
+
+def test_copies_share_no_columns(spark):
+    """Rows of one class count once in the map of shared columns, and ids that are null or repeated lose no class."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(30)]
+    rows = [(100 * copy + k, t) for copy in range(8) for k, t in enumerate(texts)]
+    near = texts[0] + " one more word"
+    rows += [(5, near), (None, near), (None, "a text with no id of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = jaccard._classes(jaccard._members(docs, 4, "doc_id", "text"))
+    assert sizes.count() == 32
+    first = spark.sparkContext.broadcast(jaccard._first_rows(sizes, 32))
+    shared, hot = jaccard._shared_columns(docs, first, 30 * 37 + 80, 4, "doc_id", "text")
+    assert int(np.unpackbits(shared).sum()) < 60 and int(np.unpackbits(hot).sum()) == 0  # 37 columns of the first text and its near copy
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs, 4, 85).collect()}
+    want = {(100 * copy + k, k) for copy in range(8) for k in range(1, 30)} | {(100 * copy, 0) for copy in range(8)} | {(5, 0), (None, 0), (None, None)}
+    assert got == want
+
+
+def test_hot_columns_come_last(spark):
+    """Classes that share frequent columns alone don't become one cluster by them while they have others in common with a copy."""
+    common = [f"c{i}" for i in range(8)]
+    rows = []
+    for k in range(40):
+        own = [f"t{k}w{i}" for i in range(60)]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join([*common, *own, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members = jaccard._members(docs, 4, "doc_id", "text")
+    pairs = jaccard._block_pairs(docs, jaccard._classes(members), 4, 85, "doc_id", "text")
+    assert max(len(r.classes) // 8 for r in pairs.collect()) == 2
+    got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs, 4, 85).collect()}
+    assert got == {(i, i - i % 2) for i in range(80)}
