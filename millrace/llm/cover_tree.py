@@ -36,6 +36,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole(a) @ whole(b).T, NONE + 1, LAST).astype(np.int64)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as the smallest integers that hold them; as they are beyond 32 bits."""
+    most = np.abs(x).max(initial=0)
+    return next((x.astype(kind) for kind in (np.int8, np.int16, np.int32) if most <= np.iinfo(kind).max), x)
+
+
 class Tree:
     """A cover tree over rows of whole numbers, held as doubles.
 
@@ -84,11 +90,29 @@ class Tree:
             new = [(node(p, float(np.sqrt(((vectors[p] - vectors[c]) ** 2).sum()))), own, depth + 1) for p, own in groups]
             todo += new[::-1]  # so that a node's members follow one another
         places = np.array(order, np.int64)
-        self.places, self.ids, self.vectors = places, ids[places], vectors[places]
-        self.centres, self.radii, self.parents = vectors[centre], np.array(radius, float), np.array(parent, float)
-        self.lengths = np.sqrt((self.centres**2).sum(axis=1))
+        rank = np.empty(len(places), np.int64)
+        rank[places] = np.arange(len(places))
+        self.places, self.ids, self.vectors, self.centre = places, ids[places], vectors[places], rank[centre]
+        self.radii, self.parents = np.array(radius, float), np.array(parent, float)
         self.span, self.children = np.array(span, np.int64).reshape(-1, 2), np.array(children, np.int64).reshape(-1, 2)
         self.depth = max(levels) + 1
+        self._derive()
+
+    def _derive(self) -> None:
+        self.centres = self.vectors[self.centre]
+        self.lengths = np.sqrt((self.centres**2).sum(axis=1))
+
+    def __getstate__(self) -> dict:
+        """What is sent: whole numbers in the fewest bytes that hold them, and nothing that follows from the rest."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("centres", "lengths")}
+        return {k: _narrow(v) if k in ("vectors", "places", "centre", "span", "children") else v for k, v in state.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.vectors = self.vectors.astype(np.float64)
+        for k in ("places", "centre", "span", "children"):
+            setattr(self, k, getattr(self, k).astype(np.int64))
+        self._derive()
 
 
 def ranges(bounds: np.ndarray) -> np.ndarray:
@@ -187,7 +211,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
     scaled = F.transform(x, lambda v: F.lit(scale) * v.cast("double"))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size(x).alias("dim"))
     sample = {}
-    for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "dim").collect():
+    # the keys first: each task sends the driver as many rows as it asks for
+    keys = rows.select(F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()
+    chosen = rows.where(F.xxhash64("id") <= keys[-1]["h"]) if keys else rows.limit(0)
+    for r in chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v", "dim").collect():
         sample.setdefault(r["dim"], []).append((r["id"], r["v"]))
     sample = {d: (np.array([i for i, _ in own], np.int64), np.floor(np.array([v for _, v in own], float))) for d, own in sample.items()}
     sent = spark.sparkContext.broadcast({d: (i, v, _pivots(v)) for d, (i, v) in sample.items()})
@@ -228,7 +255,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()), "data": pa.array([tree], pa.binary())})
 
     def aim(nearest: bool):
-        """Turns a block of queries into its tree and floors, a row for each data block of its own cell, or of the others that it can't rule out."""
+        """Turns a block of queries into its tree and floors, once, with the data blocks of its own cell, or of the others that it can't rule out."""
 
         def run(key: tuple, rows: pa.Table) -> pa.Table:
             dim, own = key[0].as_py(), key[1].as_py()
@@ -250,24 +277,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
                     most = tree.centres[0] @ pivots[cell] + tree.lengths[0] * radius + length * tree.radii[0] + radius * tree.radii[0]
                     if nearest or most + 1e-6 + 1e-9 * (tree.lengths[0] + tree.radii[0]) * (length + radius) >= floor.min():
                         to += [(cell, b) for b in range(blocks)]
-            columns = [pa.array([dim] * len(to), pa.int32())] + [pa.array([t[i] for t in to], pa.int32()) for i in (0, 1)]
             queries = pickle.dumps((tree, version[new][tree.places], floor))
-            return pa.table([*columns, pa.array([queries] * len(to), pa.binary())], ["dim", "cell", "block", "queries"])
+            targets = pa.array([[{"cell": c, "block": b} for c, b in to]], pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int32())])))
+            return pa.table([pa.array([dim], pa.int32()), targets, pa.array([queries], pa.binary())], ["dim", "targets", "queries"])
 
         return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
-        for batch in batches:
-            for q, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, version, floor = pickle.loads(q)
-                if d != last:
-                    last, tree = d, pickle.loads(d)
-                scores, ids, _ = search(own, tree, k, floor)
-                keep = (scores != NONE) & (scores >= floor[:, None])
-                which = np.repeat(np.arange(len(own.ids)), keep.sum(axis=1))
-                columns = [own.ids[which], version[which], ids[keep], scores[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "version", "vec_id", "score"])
+    def run(queries: pa.Table, data: pa.Table) -> pa.Table:
+        """All blocks of queries that meet a data block."""
+        columns = [[np.empty(0, np.int64)] for _ in range(4)]
+        tree = pickle.loads(data["data"][0].as_py()) if queries.num_rows else None
+        for q in queries["queries"]:
+            own, version, floor = pickle.loads(q.as_py())
+            scores, ids, _ = search(own, tree, k, floor)
+            keep = (scores != NONE) & (scores >= floor[:, None])
+            which = np.repeat(np.arange(len(own.ids)), keep.sum(axis=1))
+            for held, new in zip(columns, (own.ids[which], version[which], ids[keep], scores[keep]), strict=True):
+                held.append(new)
+        return pa.table([pa.array(np.concatenate(c)) for c in columns], ["query_id", "version", "vec_id", "score"])
 
     block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
     cut = dealt.withColumn("block", block("blocks")).select("dim", "cell", "block", "id", "v")
@@ -276,9 +303,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 256.0, id
     order = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
 
     def found(queries: DataFrame, nearest: bool) -> DataFrame:
-        sought = queries.groupBy("dim", "cell", "part").applyInArrow(aim(nearest), "dim int, cell int, block int, queries binary")
-        met = sought.join(data, ["dim", "cell", "block"]).select("queries", "data")
-        return met.mapInArrow(run, "query_id bigint, version bigint, vec_id bigint, score bigint")
+        sought = queries.groupBy("dim", "cell", "part").applyInArrow(aim(nearest), "dim int, targets array<struct<cell: int, block: int>>, queries binary")
+        sought = sought.select("dim", F.explode("targets").alias("to"), "queries").select("dim", "to.cell", "to.block", "queries")
+        place = ("dim", "cell", "block")
+        return sought.groupBy(*place).cogroup(data.groupBy(*place)).applyInArrow(run, "query_id bigint, version bigint, vec_id bigint, score bigint")
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

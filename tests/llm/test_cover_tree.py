@@ -80,3 +80,17 @@ def test_sql_agrees(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
     got = ct.top_k(frame, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ct.ORACLE_SQL).fetchall())
+
+
+def test_a_sent_tree_is_small_and_the_same():
+    import pickle
+
+    r = np.random.RandomState(3)
+    for scale in (100, 1e6, 1e16):
+        vectors = np.floor(r.randn(500, 64) * scale)
+        tree = ct.Tree(np.arange(500), vectors)
+        sent = pickle.dumps(tree)
+        again = pickle.loads(sent)
+        for name, value in tree.__dict__.items():
+            assert np.array_equal(getattr(again, name), value) and np.asarray(getattr(again, name)).dtype == np.asarray(value).dtype
+        assert scale > 100 or len(sent) < vectors.nbytes / 2
