@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -240,7 +240,7 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(x, -BOUND, BOUND, out=x)
 
 
-def _parts(texts: list[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
+def _parts(texts: Iterable[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
     """Texts of about so many bytes together; a longer text alone."""
     held, n = [], 0
     for words in texts:
@@ -407,29 +407,33 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     def finish(rows: pa.Table, values: pa.Table) -> pa.Table:
         counts = np.empty(values.num_rows, np.int64)
         counts[values["k"].to_numpy()] = values["c"].to_numpy()
-        texts = [words_of(t) for t in rows["text"].to_pylist()]
+        # a slice's tokens are held at a time; of the block only the distinct ones
         number: dict[bytes, int] = {}
-        for words in texts:
-            number.update(dict.fromkeys(words))
+        for t in rows["text"]:
+            number.update(dict.fromkeys(words_of(t.as_py())))
         _, order = _sorted(list(number))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         number = dict(zip(number, rank.tolist(), strict=True))
-        sizes = np.array([len(words) for words in texts], np.int64)
-        flat = np.fromiter((number[w] for words in texts for w in words), np.int64, sizes.sum())
-        text = np.repeat(np.arange(len(texts)), sizes)
-        seen = counts[flat]
-        base = np.bincount(text, np.log10(seen + 1.0), len(texts)) + math.log10(n_train + 1) - (sizes + 1) * unit
-        n_known = np.bincount(text[seen > 0], minlength=len(texts)) + (n_train > 0)
-        scores = sent.value.cost(texts)
-        n_bytes = np.array([sum(map(len, words)) for words in texts], np.int64) + sizes + 1
+        parts = [[np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]]
+        for part in _parts((words_of(t.as_py()) for t in rows["text"]), SLICE):
+            size = np.array([len(words) for words in part], np.int64)
+            seen = counts[np.fromiter((number[w] for words in part for w in words), np.int64, size.sum())]
+            text = np.repeat(np.arange(len(part)), size)
+            own = np.bincount(text, np.log10(seen + 1.0), len(part)), np.bincount(text[seen > 0], minlength=len(part))
+            n_bytes = np.array([sum(map(len, words)) for words in part], np.int64) + size + 1
+            for held, new in zip(parts, (size, *own, sent.value.cost(part), n_bytes), strict=True):
+                held.append(new)
+        sizes, base, n_known, scores, n_bytes = (np.concatenate(held) for held in parts)
+        base = base + math.log10(n_train + 1) - (sizes + 1) * unit
+        n_known = n_known + (n_train > 0)
         return pa.table(
             {
                 "doc_id": rows["doc_id"],
                 "held_out": rows["held_out"],
                 "n_tokens": sizes + 1,
                 "n_known": n_known,
-                "train_tokens": np.full(len(texts), total, np.int64),
+                "train_tokens": np.full(len(sizes), total, np.int64),
                 "base_score": base,
                 "score": scores,
                 "bits_per_byte": -scores * math.log2(10) / n_bytes,
