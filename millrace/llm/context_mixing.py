@@ -5,14 +5,16 @@ prefix code over the training bytes. Several predictors, each a table of bit cou
 (the last bytes, the word so far, the word so far and the word before), predict each bit; their log odds are added up with
 weights that a gate selects, an adaptive map refines the sum, and the costs of all bits make the text's probability.
 
-Bit counts cover all training texts. The mixing weights and the map, a few thousand numbers, are fitted online on a bounded
-sample of training texts in the order of a hash (LEARN_DOCS, LEARN_BYTES), each occurrence left out of its own counts. All
-sums over partitions are of whole numbers, so scores don't depend on how rows are dealt.
+Bit counts cover all training texts. The mixing weights and the map, a few thousand numbers, are fitted on all different
+training texts: a hash deals these to shards of about LEARN_DOCS, each shard is learned online in the order of the hash, each
+occurrence left out of its own counts, and the shards' weights are averaged by their bytes, their maps added up. All sums
+over partitions are of whole numbers, so scores don't depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,8 +36,10 @@ LEAST_BITS, MOST_BITS = 14, (18, 20, 21, 21, 21, 21)
 GATES, LEVELS = (3, 5), 6
 #: What is added to each count of a bit; the bound of the logistic domain, and buckets of the map over it.
 PRIOR, BOUND, BUCKETS = 0.4, 8.0, 64
-#: Training texts that weights and map are fitted on, about; bytes of them at most; bytes of a step; its rate; bytes before the map is filled.
-LEARN_DOCS, LEARN_BYTES, STEP, RATE, SETTLED = 1_600, 6_000_000, 4_000, 0.02, 500_000
+#: Training texts of a shard that is learned online, about; tasks for them at most; bytes of a step; its rate; a shard's bytes before its map is filled.
+LEARN_DOCS, LEARN_PARTS, STEP, RATE, SETTLED = 1_600, 128, 4_000, 0.02, 500_000
+#: Shards' weights are added up as whole numbers of this part.
+FINE = 1 << 24
 #: Bytes that are priced together, small enough for the caches; bytes of a block of texts whose tokens are looked up together, about.
 SLICE, BLOCK_BYTES = 48_000, 24_000_000
 #: Training texts of a partition that is counted at least, such partitions at most, and ranges that their tables are added up in.
@@ -275,8 +279,6 @@ def _learn(code: Code, width: list[int], counts: np.ndarray, texts: Iterator[lis
         if seen > SETTLED:
             found += np.bincount((code.node[bits.of] * BUCKETS + _bucket(z)) * 2 + code.bit[bits.of], minlength=len(found))
         seen += len(bits.first)
-        if seen > LEARN_BYTES:
-            break
     return model.weights, found
 
 
@@ -314,22 +316,59 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
     for row in summed.toLocalIterator():
         counts[cuts[row["range"]] : cuts[row["range"] + 1]] = np.frombuffer(row["counts"], "<f4")
 
-    key = F.xxhash64("text")
-    sample = texts.where(F.pmod(key, F.lit(max(1, n_texts // LEARN_DOCS))) == 0).dropDuplicates(["text"])
+    shards = max(1, n_texts // LEARN_DOCS)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's copies of a text are left out before they meet others."""
+        known = set()
+        for batch in batches:
+            new = []
+            for x in zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist(), strict=True):
+                new.append(x not in known)
+                known.add(x)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    rows = texts.select(F.xxhash64("text").alias("key"), "text").mapInArrow(once, "key bigint, text string")
+    sharded = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "text").repartition(min(shards, LEARN_PARTS), "shard").sortWithinPartitions("shard", "key", "text")
     sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (part for _, own in text_slices(batches, 0) for part in _parts([words_of(t) for t in own], STEP))
-        weights, found = _learn(code, width, sent.value, parts)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (weights, found)], ["weights", "map"])
-
-    got = sample.repartition(1).sortWithinPartitions(key, "text").mapInArrow(learn, "weights binary, map binary").first()
+        """The sums of a task's shards."""
+        weights, found, n = 0, 0, 0
+
+        def different() -> Iterator[tuple[int, str]]:
+            last = None
+            for batch, own in text_slices(batches, 2):
+                for x in zip(batch.column(0).to_pylist(), own, strict=True):
+                    if x != last:
+                        yield x
+                    last = x
+
+        for _, own in itertools.groupby(different(), lambda x: x[0]):
+            size = 0
+
+            def words() -> Iterator[list[bytes]]:
+                nonlocal size
+                for _, t in own:  # noqa: B023
+                    size += len(t)
+                    yield words_of(t)
+
+            w, f = _learn(code, width, sent.value, _parts(words(), STEP))
+            share = size // 1000 + 1
+            weights, found, n = weights + np.rint(w.astype(np.float64) * FINE).astype(np.int64) * share, found + f, n + share
+        if n:
+            columns = [pa.array([x.tobytes()], pa.binary()) for x in (weights, found)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n])], ["weights", "map", "n"])
+
+    weights, found, n = 0, 0, 0
+    for row in sharded.mapInArrow(learn, "weights binary, map binary, n bigint").toLocalIterator():
+        weights, found, n = weights + np.frombuffer(row["weights"], np.int64), found + np.frombuffer(row["map"]), n + row["n"]
     sent.destroy()
     tables = [counts[2 * _first(width, k) : 2 * _first(width, k + 1)] for k in GATES]
     model = Model(code, width, _odds(counts[::2], counts[1::2]), [_level(t[::2] + t[1::2]) for t in tables])
-    if got is not None:
-        model.weights = np.frombuffer(got["weights"]).reshape(model.weights.shape).astype(np.float32)
-        n0, n1 = np.frombuffer(got["map"]).reshape(-1, 2).T
+    if n:
+        model.weights = (weights / (n * FINE)).reshape(model.weights.shape).astype(np.float32)
+        n0, n1 = found.reshape(-1, 2).T
         centre = (np.arange(BUCKETS) + 0.5) * (2 * BOUND / BUCKETS) - BOUND
         prior = 8 / (1 + np.exp(-np.tile(centre, 256)))  # eight occurrences that say what the mixer says
         model.refined = np.log((n1 + prior) / (n0 + 8 - prior)).astype(np.float32)

@@ -130,3 +130,31 @@ def test_scores(spark):
     assert {r.train_tokens for r in nothing} == {0} and cm.score(docs.where("false"), "held_out").collect() == []
 
 
+
+
+def test_all_training_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(cm, "LEARN_DOCS", 4)  # ten shards
+    texts = [text(i) for i in range(40)]
+    histogram = np.bincount(np.concatenate([d[k] for d, k, _ in [cm.streams([cm.words_of(t)]) for t in texts]]), minlength=256)
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:7]], "text string")
+    learned = []
+    for n in (2, 5):
+        model = cm.fit(docs.repartition(n), histogram, 47)
+        learned.append((model.weights.tolist(), model.refined.tolist()))
+    assert learned[0] == learned[1]
+    # each shard by itself, every different text in the order of its hash
+    counts = np.zeros(2 * cm._first(model.width, len(model.width)), np.float32)
+    for t in texts + texts[:7]:
+        for b in cm._bits(model.code, model.width, [cm.words_of(t)]):
+            for k in range(len(cm.PREDICTORS)):
+                np.add.at(counts, b.slots(k) * 2 + model.code.bit[b.of], 1)
+    shards = {}
+    for r in sorted(docs.distinct().selectExpr("xxhash64(text) AS key", "text").collect()):
+        shards.setdefault(r.key % 11, []).append(r.text)
+    assert sum(map(len, shards.values())) == 40 and len(shards) > 5
+    want, n = 0, 0
+    for own in shards.values():
+        share = sum(map(len, own)) // 1000 + 1
+        want = want + share * cm._learn(model.code, model.width, counts, cm._parts([cm.words_of(t) for t in own], cm.STEP))[0].astype(float)
+        n += share
+    assert np.abs(model.weights - want / n).max() < 1e-5 and np.abs(model.weights - 0.3).max() > 0.01
