@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, langid, line_templates, packing, quality
-from millrace.llm.common import read_table, remainder, written
+from millrace.llm.common import FEW, read_table, remainder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents under this share of n-grams that their language contains have no language that was learned.
@@ -49,8 +49,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without an id stay where one of them is in no group with an id; rows that share the smallest id all stay.
     """
     groups = jaccard.near_duplicates(docs, words=5, percent=80)
-    keep = written(groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").select(*COLUMNS)
+    marks = written(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("_stays")))
+    gone = marks.where("NOT _stays").select("_id")
+    # texts move only where more ids go than can be broadcast
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

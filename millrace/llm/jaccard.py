@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, text_slices, written
+from .common import FEW, spread_join, temporary, text_slices, written
 
 #: Widths in bits of the map of columns that several classes share, at least and at most; between, it grows with the n-grams. A map of classes is as wide.
 LEAST_BITS, MOST_BITS = 22, 29
@@ -248,9 +248,28 @@ def _prefixes(docs: DataFrame, first: Broadcast, maps: tuple[np.ndarray, np.ndar
     return _mapped(docs, words, id_col, text_col, "column bigint, class bigint", one)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b) of the batches."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(a), find(b)
+            up[max(p, q)] = min(p, q)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in list(up)], pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the component's least node. Large and small stars alternate."""
+    """(node, root) of every node of edges (a, b): root is the component's least node. Large and small stars alternate; up to FEW edges are joined by one task."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() <= FEW:
+        return edges.repartition(1).mapInArrow(_joined, "node bigint, root bigint")
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -328,6 +347,7 @@ def _block_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id
     hubs = prefixes.groupBy("column").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last").select("column", "a")
     clusters = written(components(prefixes.join(hubs, "column").select("a", F.col("class").alias("b"))))
     step = -math.log(percent / 100) if percent < 100 else 1.0
+    ids = sizes.select("class", F.col("least_id").alias("_least"))
     sizes = sizes.select("class", F.col("n_shingles").alias("n"), "copies")
     # a class of size n links with sizes from n * percent / 100 up: its own band or the next
     banded = written(clusters.join(sizes, clusters.node == sizes["class"]).select("root", "class", "n", "copies", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) - F.lit(1e-9)).cast("int").alias("band")))
@@ -335,7 +355,11 @@ def _block_pairs(docs: DataFrame, sizes: DataFrame, words: int, percent: int, id
     blocked = written(banded.join(cells, ["root", "band"]).select("class", "copies", "root", "band", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int").alias("block")))
 
     # the n-grams of clustered classes alone leave the documents: a bit map tells most others apart
-    known = spark.sparkContext.broadcast(_bit_map(blocked.select(F.col("class").alias("h")), _bits_of(blocked.count(), 3)))
+    n_blocked = blocked.count()
+    known = spark.sparkContext.broadcast(_bit_map(blocked.select(F.col("class").alias("h")), _bits_of(n_blocked, 3)))
+    if n_blocked <= FEW:  # only rows that stand for these classes are read into n-grams again
+        ids = written(blocked.join(ids, "class").select("_least").distinct())
+        docs = docs.join(F.broadcast(ids), F.col(id_col).cast("bigint").eqNullSafe(F.col("_least")), "left_semi")
 
     def one(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
         keep = dict(_one_each(first.value, ids, sets))
@@ -426,15 +450,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     one n-gram; a text without words, or null, has none and links with nothing. Rows of equal id and different text are
     documents of their own; a null id is never a component's id unless it is alone.
     """
-    members = written(_members(docs, words, id_col, text_col))
+    with temporary(docs.sparkSession):
+        members, rooted = _rooted(docs, words, percent, id_col, text_col)
+    joined = spread_join(members, rooted.drop("copies"), "class", "left", counts=rooted.select("class", F.col("copies").alias("n")))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _rooted(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Members, and (class, copies, component_id, n_links) of every class, as written tables that stay."""
+    members = written(_members(docs, words, id_col, text_col), stays=True)
     sizes = _classes(members)
     found = written(links(docs, sizes, words, percent, id_col, text_col))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     others = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     classes = sizes.join(others, "class", "left")
-    rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "least_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", "copies", "least_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     rooted = written(rooted)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    rooted = spread_join(rooted, least, "root").select("class", "component_id", "n_links")
-    joined = spread_join(members, rooted, "class", "left", counts=classes.select("class", F.col("copies").alias("n")))
-    return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members, written(spread_join(rooted, least, "root").select("class", "copies", "component_id", "n_links"), stays=True)

@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from millrace.llm import jaccard
+from millrace.llm.common import shared_dir
 
 
 def brute(rows, n, percent):
@@ -137,3 +139,33 @@ def test_hot_columns_come_last(spark):
     assert max(len(r.classes) // 8 for r in pairs.collect()) == 2
     got = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(docs, 4, 85).collect()}
     assert got == {(i, i - i % 2) for i in range(80)}
+
+
+def test_components_by_one_task_and_by_stars(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(5, 5), (400, 401), (401, 400)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = sorted(map(tuple, jaccard.components(df).collect()))
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    assert few == sorted(map(tuple, jaccard.components(df).collect())) and (401, 400) in few
+    assert jaccard.components(df.where("false")).count() == 0
+
+
+def test_classes_beyond_a_broadcast(spark, monkeypatch):
+    """With nothing few enough the same rows come out."""
+    r = random.Random(4)
+    base = [r.choice("abcdefghij") for _ in range(40)]
+    rows = [(i, " ".join([*base[:20], str(i % 7), *base[20:]])) for i in range(30)] + [(None, " ".join(base)), (50, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, jaccard.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    assert few == sorted(map(str, jaccard.near_duplicates(docs).collect()))
+
+
+def test_temporaries_go(spark):
+    """Of what a run writes only the tables that its result reads stay."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    docs = spark.createDataFrame([(i, "some words that come in all of them %d" % (i % 3)) for i in range(20)], "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, 2, 60)
+    assert found.count() == 20 and len(set(shared.iterdir()) - before) <= 3

@@ -89,3 +89,17 @@ def test_no_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in cp.STAGES[1:]:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_near_duplicates_move_no_text(spark, folder, monkeypatch):
+    """The texts meet the ids that go in a broadcast; where these are many, the same rows stay."""
+    docs = cp.written(spark.read.parquet(f"{folder}/documents.parquet").select(*cp.COLUMNS))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        single = cp.near_duplicate_stage(spark, docs, folder)
+        plan = single._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(cp, "FEW", -1)
+        assert rows(single) == rows(cp.near_duplicate_stage(spark, docs, folder)) and 0 < single.count() < docs.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
