@@ -258,26 +258,44 @@ def _parts(texts: Iterable[list[bytes]], size: int) -> Iterator[list[list[bytes]
         yield held
 
 
+def _left_out(width: list[int], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each slot's odds for an occurrence of a 0 and of a 1, and levels for the tables of GATES, without that occurrence."""
+    odds, one = np.empty_like(counts), np.float32(1)
+    for k in range(len(width)):
+        own = slice(2 * _first(width, k), 2 * _first(width, k + 1))
+        zeros, ones = counts[own][::2], counts[own][1::2]
+        odds[own][::2] = _odds(np.maximum(zeros - one, 0), ones)
+        odds[own][1::2] = _odds(zeros, np.maximum(ones - one, 0))
+    tables = [counts[2 * _first(width, k) : 2 * _first(width, k + 1)] for k in GATES]
+    return odds, [_level(np.maximum(t[::2] + t[1::2] - one, 0)) for t in tables]
+
+
 def _learn(code: Code, width: list[int], counts: np.ndarray, texts: Iterator[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights, and the map's counts by node, bucket and bit, from training texts in their order; an occurrence doesn't count for itself."""
-    model, one = Model(code, width, np.empty(0), []), np.float32(1)
+    return _learned(code, width, *_left_out(width, counts), texts)
+
+
+def _learned(code: Code, width: list[int], odds: np.ndarray, level: list[np.ndarray], texts: Iterator[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+    """What _learn returns. odds, level: as _left_out gives them."""
+    model = Model(code, width, np.empty(0), [])
     seen, found = 0, np.zeros(256 * BUCKETS * 2)
     for bits in (b for part in texts for b in _bits(code, width, part)):
-        bit = code.bit[bits.of].astype(np.float32)
+        bit = code.bit[bits.of]
+        twice = bits.within * 2 + bit
         x = []
-        for k in range(len(PREDICTORS)):
-            at = bits.slots(k) * 2
-            x.append(_odds(np.maximum(counts[at] - (one - bit), 0), np.maximum(counts[at + 1] - bit, 0)))
-        roots = [2 * bits.base[k] + 2 for k in GATES]
-        levels = [_level(np.maximum(counts[r] + counts[r + 1] - one, 0)) for r in roots]
+        for base in bits.base:
+            at = (base * 2)[bits.line]
+            at += twice
+            x.append(odds[at])
+        levels = [t[bits.base[k] + 1 - _first(width, k)] for k, t in zip(GATES, level, strict=True)]
         gate = (levels[0].astype(np.int64) * LEVELS + levels[1])[bits.line]
         z = model.mixed(x, gate)
-        error = bit - 1 / (1 + np.exp(-z))
+        error = bit.astype(np.float32) - 1 / (1 + np.exp(-z))
         often = np.sqrt(np.maximum(np.bincount(gate, minlength=LEVELS**2), 1))
         for k, own in enumerate(x):
             model.weights[:, k] += RATE * np.bincount(gate, error * own, LEVELS**2) / often
         if seen > SETTLED:
-            found += np.bincount((code.node[bits.of] * BUCKETS + _bucket(z)) * 2 + code.bit[bits.of], minlength=len(found))
+            found += np.bincount((code.node[bits.of] * BUCKETS + _bucket(z)) * 2 + bit, minlength=len(found))
         seen += len(bits.first)
     return model.weights, found
 
@@ -330,7 +348,7 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
 
     rows = texts.select(F.xxhash64("text").alias("key"), "text").mapInArrow(once, "key bigint, text string")
     sharded = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "text").repartition(min(shards, LEARN_PARTS), "shard").sortWithinPartitions("shard", "key", "text")
-    sent = texts.sparkSession.sparkContext.broadcast(counts)
+    sent = texts.sparkSession.sparkContext.broadcast(_left_out(width, counts))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of a task's shards."""
@@ -353,7 +371,7 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
                     size += len(t)
                     yield words_of(t)
 
-            w, f = _learn(code, width, sent.value, _parts(words(), STEP))
+            w, f = _learned(code, width, *sent.value, _parts(words(), STEP))
             share = size // 1000 + 1
             weights, found, n = weights + np.rint(w.astype(np.float64) * FINE).astype(np.int64) * share, found + f, n + share
         if n:
@@ -361,7 +379,8 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n])], ["weights", "map", "n"])
 
     weights, found, n = 0, 0, 0
-    for row in sharded.mapInArrow(learn, "weights binary, map binary, n bigint").toLocalIterator():
+    # written first: read row by row from the driver, the tasks would run one after another
+    for row in written(sharded.mapInArrow(learn, "weights binary, map binary, n bigint")).toLocalIterator():
         weights, found, n = weights + np.frombuffer(row["weights"], np.int64), found + np.frombuffer(row["map"]), n + row["n"]
     sent.destroy()
     tables = [counts[2 * _first(width, k) : 2 * _first(width, k + 1)] for k in GATES]

@@ -158,3 +158,31 @@ def test_all_training_texts_are_learned_from(spark, monkeypatch):
         want = want + share * cm._learn(model.code, model.width, counts, cm._parts([cm.words_of(t) for t in own], cm.STEP))[0].astype(float)
         n += share
     assert np.abs(model.weights - want / n).max() < 1e-5 and np.abs(model.weights - 0.3).max() > 0.01
+
+
+def test_shards_are_learned_at_once(spark, monkeypatch):
+    """All tasks of the shards run in one job, which writes; read from the driver one by one they would wait for each other."""
+    docs = spark.createDataFrame([(i, "some text of number %d" % i) for i in range(40)], "doc_id long, text string").selectExpr("*", "doc_id % 7 = 2 AS held_out")
+    tasks, written = {}, cm.written
+
+    def noted(df):
+        out = written(df)
+        tasks[tuple(df.columns)] = df.rdd.getNumPartitions()
+        return out
+
+    monkeypatch.setattr(cm, "written", noted)
+    monkeypatch.setattr(cm, "LEARN_DOCS", 5)
+    cm.score(docs, "held_out")
+    assert tasks["weights", "map", "n"] > 1
+
+
+def test_counts_without_the_own_occurrence():
+    width = [14] * 6
+    counts = np.random.default_rng(1).integers(0, 9, 2 * cm._first(width, 6)).astype(np.float32)
+    odds, level = cm._left_out(width, counts)
+    zeros, ones = counts[::2], counts[1::2]
+    assert np.array_equal(odds[::2], cm._odds(np.maximum(zeros - np.float32(1), 0), ones))
+    assert np.array_equal(odds[1::2], cm._odds(zeros, np.maximum(ones - np.float32(1), 0)))
+    for k, own in zip(cm.GATES, level, strict=True):
+        at = slice(cm._first(width, k), cm._first(width, k + 1))
+        assert np.array_equal(own, cm._level(np.maximum(zeros[at] + ones[at] - np.float32(1), 0)))
