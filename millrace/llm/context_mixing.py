@@ -42,6 +42,8 @@ LEARN_DOCS, LEARN_PARTS, STEP, RATE, SETTLED = 1_600, 128, 4_000, 0.02, 500_000
 FINE = 1 << 24
 #: Bytes that are priced together, small enough for the caches; bytes of a block of texts whose tokens are looked up together, about.
 SLICE, BLOCK_BYTES = 48_000, 24_000_000
+#: Bytes whose features are gathered together for several steps; lines that are gathered before they are counted.
+LEARN_SLICE, GATHER = 48_000, 1 << 20
 #: Training texts of a partition that is counted at least, such partitions at most, and ranges that their tables are added up in.
 COUNT_DOCS, COUNT_PARTS, RANGES = 12_000, 4_096, 512
 #: Slots of a line; lines begin at any slot and may overlap, as most use few of theirs.
@@ -94,6 +96,8 @@ class Code:
                     place = 2 * place + b
         self.within = np.array(within, np.int64)
         self.sign = np.where(self.bit == 1, -1, 1).astype(np.float32)
+        self.line_bit = np.cumsum(self.size) - self.size  # bits of a byte's lines follow each other
+        self.twice, self.cell = self.within * 2 + self.bit, self.node * BUCKETS
 
 
 def widths(n_bytes: int) -> list[int]:
@@ -145,42 +149,65 @@ def contexts(data: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass
 class Bits:
-    """The bits of some places of streams. of: each one's entry in the code; line: its line; base: each line's slots, by predictor; first: each byte's first bit."""
+    """The lines of some places of streams. entry: each one's entry in the code; base: its slots, by predictor; first: each byte's first line."""
 
-    of: np.ndarray
-    line: np.ndarray
+    code: Code
+    entry: np.ndarray
     base: list[np.ndarray]
-    within: np.ndarray
     first: np.ndarray
 
     @classmethod
     def read(cls, code: Code, width: list[int], data: np.ndarray, hashes: list[np.ndarray], keep: np.ndarray) -> Bits:
         own = data[keep]
-        bits, lines = code.bits[own], code.lines[own]
-        entry = np.repeat(code.first_line[own] - (np.cumsum(lines) - lines), lines) + np.arange(lines.sum())
-        of = np.repeat(code.first_bit[own] - (np.cumsum(bits) - bits), bits) + np.arange(bits.sum())
-        anchor, place = code.anchor[entry], np.repeat(keep, lines)
-        line = np.repeat(np.arange(len(entry)), code.size[entry])
+        lines = code.lines[own]
+        start = np.cumsum(lines) - lines
+        of_byte = np.repeat(np.arange(len(own)), lines)
+        entry = (code.first_line[own] - start)[of_byte]
+        entry += np.arange(len(entry))
+        anchor, place, shifted = code.anchor[entry], keep[of_byte], np.empty(len(entry), np.uint64)
         base, first = [], 0
         for h, b in zip(hashes, width, strict=True):
             x = h[place]
             x += anchor
-            x ^= x >> np.uint64(31)
+            x ^= np.right_shift(x, np.uint64(31), out=shifted)
             x *= _M
             x >>= np.uint64(64 - b)
-            base.append(x.view(np.int64) + first)
+            x += np.uint64(first)
+            base.append(x.view(np.int64))
             first += (1 << b) + LINE
-        return cls(of, line, base, code.within[of], np.cumsum(bits) - bits)
+        return cls(code, entry, base, start)
+
+    def spread(self, order: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lines in an order: each bit's line, its entry in the code, and each line's first bit."""
+        entry = self.entry[order]
+        size = self.code.size[entry]
+        start = np.cumsum(size) - size
+        line = np.repeat(np.arange(len(entry)), size)
+        of = (self.code.line_bit[entry] - start)[line]
+        of += np.arange(len(of))
+        return line, of, start
+
+    @property
+    def of(self) -> np.ndarray:
+        return self.spread()[1]
 
     def slots(self, k: int) -> np.ndarray:
-        out = self.base[k][self.line]
-        out += self.within
-        return out
+        line, of, _ = self.spread()
+        return self.base[k][line] + self.code.within[of]
+
+    def gates(self, width: list[int], level: list[np.ndarray]) -> np.ndarray:
+        """Each line's gate; the slot 1 of a line is its first bit's."""
+        a, b = (t[self.base[k] + (1 - _first(width, k))] for k, t in zip(GATES, level, strict=True))
+        return (a * np.int8(LEVELS) + b).astype(np.uint16)
 
 
 def _bits(code: Code, width: list[int], texts: list[list[bytes]]) -> Iterator[Bits]:
-    """The bits of some texts, about SLICE bytes at a time, whatever a text's length."""
+    """The lines of some texts, about SLICE bytes at a time, whatever a text's length."""
     data, keep, _ = streams(texts)
+    yield from _read(code, width, data, keep)
+
+
+def _read(code: Code, width: list[int], data: np.ndarray, keep: np.ndarray) -> Iterator[Bits]:
     hashes = list(contexts(data))
     for part in np.array_split(keep, -(-len(keep) // SLICE)):
         yield Bits.read(code, width, data, hashes, part)
@@ -197,32 +224,44 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.full((LEVELS**2, len(PREDICTORS)), 0.3, np.float32))
     refined: np.ndarray | None = None
 
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        """The mixed log odds of bits, from the predictors' and the gate."""
-        z = np.zeros(len(gate), np.float32)
-        for own, w in zip(x, np.ascontiguousarray(self.weights.T), strict=True):
-            z += w[gate] * own
-        return np.clip(z, -BOUND, BOUND, out=z)
-
-    def final(self, bits: Bits) -> np.ndarray:
-        """The log odds of bits, mixed and refined."""
-        # the slot 1 of a line is its first bit's
-        levels = [t[bits.base[k] + 1 - _first(self.width, k)] for k, t in zip(GATES, self.level, strict=True)]
-        gate = (levels[0].astype(np.int64) * LEVELS + levels[1])[bits.line]
-        z = self.mixed([self.odds[bits.slots(k)] for k in range(len(PREDICTORS))], gate)
+    def by_byte(self, bits: Bits) -> np.ndarray:
+        """The cost of each byte. Lines go by their gates, so that the bits of a gate lie together.
+
+        A bit's cost mustn't depend on where it lies, so nothing here is a product of matrices.
+        """
+        gate = bits.gates(self.width, self.level)
+        order = np.argsort(gate, kind="stable")
+        line, of, start = bits.spread(order)
+        within, x = self.code.within[of], np.empty((len(bits.base), len(of)), np.float32)
+        for own, base in zip(x, bits.base, strict=True):
+            at = base[order][line]
+            at += within
+            np.take(self.odds, at, out=own, mode="clip")
+        z, ends = np.empty(len(of), np.float32), np.append(start, len(of))[np.cumsum(np.bincount(gate, minlength=LEVELS**2))]
+        for weights, a, b in zip(self.weights, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if a < b:
+                x[:, a:b] *= weights[:, None]
+                np.add.reduce(x[:, a:b], axis=0, out=z[a:b])
+        np.clip(z, -BOUND, BOUND, out=z)
         if self.refined is not None:
-            z = (z + self.refined[self.code.node[bits.of] * BUCKETS + _bucket(z)]) / 2
-        return z
+            at = _bucket(z)
+            at += self.code.cell[of]
+            z += self.refined[at]
+            z *= np.float32(0.5)
+        z *= self.code.sign[of]
+        np.exp(z, out=z)
+        z += np.float32(1)
+        np.log(z, out=z)
+        price = np.empty(len(order))
+        price[order] = np.add.reduceat(z, start)  # of four bits at most
+        return np.add.reduceat(price, bits.first)
 
     def cost(self, texts: list[list[bytes]]) -> np.ndarray:
         """The log10 probability of each text, given as its tokens, its end included."""
         out = []
         for part in _parts(texts, SLICE):
-            by_byte = []
-            for bits in _bits(self.code, self.width, part):
-                price = np.log(1 + np.exp(self.final(bits) * self.code.sign[bits.of]))
-                by_byte.append(np.add.reduceat(price, bits.first, dtype=np.float64))
-            sizes = np.array([sum(map(len, words)) + len(words) + 1 for words in part])
+            data, keep, sizes = streams(part)
+            by_byte = [self.by_byte(bits) for bits in _read(self.code, self.width, data, keep)]
             out.append(np.add.reduceat(np.concatenate(by_byte), np.cumsum(sizes) - sizes) / -math.log(10))
         return np.concatenate(out) if out else np.empty(0)
 
@@ -275,29 +314,117 @@ def _learn(code: Code, width: list[int], counts: np.ndarray, texts: Iterator[lis
     return _learned(code, width, *_left_out(width, counts), texts)
 
 
+def _steps(code: Code, width: list[int], texts: Iterable[list[list[bytes]]]) -> Iterator[tuple[Bits, list[int]]]:
+    """The lines of several steps at once, and each step's lines. A part is a step; one over SLICE bytes is several."""
+    held, sizes = [], []
+
+    def flush() -> Iterator[tuple[Bits, list[int]]]:
+        if len(sizes) == 1:
+            for bits in _bits(code, width, held):
+                yield bits, [len(bits.entry)]
+        elif sizes:
+            data, keep, _ = streams(held)
+            bits = Bits.read(code, width, data, list(contexts(data)), keep)
+            starts = bits.first[np.cumsum(sizes) - sizes]
+            yield bits, np.diff(starts, append=len(bits.entry)).tolist()
+
+    for part in texts:
+        n = sum(sum(map(len, words)) + len(words) + 1 for words in part)
+        if sizes and (sum(sizes) + n > LEARN_SLICE or len(sizes) == 1_000):
+            yield from flush()
+            held, sizes = [], []
+        held += part
+        sizes.append(n)
+    yield from flush()
+
+
 def _learned(code: Code, width: list[int], odds: np.ndarray, level: list[np.ndarray], texts: Iterator[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
     """What _learn returns. odds, level: as _left_out gives them."""
-    model = Model(code, width, np.empty(0), [])
-    seen, found = 0, np.zeros(256 * BUCKETS * 2)
-    for bits in (b for part in texts for b in _bits(code, width, part)):
-        bit = code.bit[bits.of]
-        twice = bits.within * 2 + bit
-        x = []
-        for base in bits.base:
-            at = (base * 2)[bits.line]
+    weights = Model(code, width, np.empty(0), []).weights
+    seen, found, gates = 0, np.zeros(256 * BUCKETS * 2), LEVELS**2
+    for bits, steps in _steps(code, width, texts):
+        # lines go by step and gate: what shares weights lies together
+        gate = bits.gates(width, level)
+        gate += np.repeat(np.arange(len(steps), dtype=np.uint16) * np.uint16(gates), steps)
+        order = np.argsort(gate, kind="stable")
+        line, of, start = bits.spread(order)
+        ends = np.append(start, len(of))[np.cumsum(np.bincount(gate, minlength=len(steps) * gates))].tolist()
+        twice, x = code.twice[of], np.empty((len(width), len(of)), np.float32)
+        for own, base in zip(x, bits.base, strict=True):
+            at = (base[order] * 2)[line]
             at += twice
-            x.append(odds[at])
-        levels = [t[bits.base[k] + 1 - _first(width, k)] for k, t in zip(GATES, level, strict=True)]
-        gate = (levels[0].astype(np.int64) * LEVELS + levels[1])[bits.line]
-        z = model.mixed(x, gate)
-        error = bit.astype(np.float32) - 1 / (1 + np.exp(-z))
-        often = np.sqrt(np.maximum(np.bincount(gate, minlength=LEVELS**2), 1))
-        for k, own in enumerate(x):
-            model.weights[:, k] += RATE * np.bincount(gate, error * own, LEVELS**2) / often
-        if seen > SETTLED:
-            found += np.bincount((code.node[bits.of] * BUCKETS + _bucket(z)) * 2 + bit, minlength=len(found))
-        seen += len(bits.first)
-    return model.weights, found
+            np.take(odds, at, out=own, mode="clip")
+        bit, z = code.bit[of], np.empty(len(of), np.float32)
+        want, begin, filled = bit.astype(np.float32), 0, len(of)
+        n_bytes = np.diff(np.searchsorted(bits.first, np.cumsum([0, *steps]))).tolist()
+        for s, n in enumerate(n_bytes):
+            own, a = [], begin
+            for g, b in enumerate(ends[s * gates : (s + 1) * gates]):
+                if a < b:
+                    own.append((g, x[:, a:b], a, b))
+                    np.dot(weights[g], x[:, a:b], out=z[a:b])
+                a = b
+            now = z[begin:a]
+            np.clip(now, -BOUND, BOUND, out=now)
+            error = np.negative(now)
+            np.exp(error, out=error)
+            error += np.float32(1)
+            np.divide(np.float32(-1), error, out=error)
+            error += want[begin:a]
+            for g, values, p, q in own:
+                weights[g] += np.dot(values, error[p - begin : q - begin]) * np.float32(RATE / math.sqrt(q - p))
+            if seen > SETTLED:
+                filled = min(filled, begin)
+            seen, begin = seen + n, a
+        if filled < len(of):
+            at = _bucket(z[filled:])
+            at += code.cell[of[filled:]]
+            at *= 2
+            at += bit[filled:]
+            found += np.bincount(at, minlength=len(found))
+    return weights, found
+
+
+def _count(code: Code, width: list[int], total: np.ndarray, texts: Iterable[list[bytes]]) -> None:
+    """Adds to total, which has each slot's zeros and ones, the bits of texts.
+
+    Lines are gathered and sorted: equal ones are added once, with their number, and slots are met in their order.
+    """
+    shift = np.uint64(len(code.size).bit_length())
+    kind = np.uint32 if max(width) + 1 + int(shift) <= 32 else np.uint64
+    held = np.empty((len(width), GATHER), kind)
+    n = 0
+    # each line's first to fourth bit: its place, and whether there is one
+    bit = code.line_bit + np.arange(4)[:, None]
+    some = (code.size > np.arange(4)[:, None]).astype(total.dtype)
+    place = np.where(some > 0, code.twice[np.minimum(bit, len(code.twice) - 1)], 0)
+
+    def flush() -> None:
+        for k, own in enumerate(held[:, :n]):
+            own.sort()
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            key, times = own[first], np.diff(first, append=n).astype(total.dtype)
+            entry = (key & kind((1 << int(shift)) - 1)).astype(np.int64)
+            base = ((key >> kind(shift)).astype(np.int64) + _first(width, k)) * 2
+            for at, there in zip(place, some, strict=True):
+                own = at[entry]
+                own += base
+                np.add.at(total, own, times * there[entry])
+
+    for part in _parts(texts, SLICE):
+        for bits in _bits(code, width, part):
+            for start in range(0, len(bits.entry), GATHER):
+                entry = bits.entry[start : start + GATHER]
+                if n + len(entry) > GATHER:
+                    flush()
+                    n = 0
+                for k, base in enumerate(bits.base):
+                    key = base[start : start + GATHER] - _first(width, k)
+                    key <<= np.int64(shift)
+                    key |= entry
+                    held[k, n : n + len(entry)] = key
+                n += len(entry)
+    flush()
 
 
 def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
@@ -307,16 +434,16 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
     cuts = np.linspace(0, 2 * slots, RANGES + 1).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, one, some = np.zeros(2 * slots, np.uint32), np.uint32(1), False
-        twice = code.within * 2 + code.bit
-        for _, own in text_slices(batches, 0):
-            for part in _parts([words_of(t) for t in own], SLICE):
-                for bits in _bits(code, width, part):
-                    within, some = twice[bits.of], True
-                    for base in bits.base:
-                        at = (base * 2)[bits.line]
-                        at += within
-                        np.add.at(total, at, one)
+        total, some = np.zeros(2 * slots, np.uint32), False
+
+        def words() -> Iterator[list[bytes]]:
+            nonlocal some
+            for _, own in text_slices(batches, 0):
+                for t in own:
+                    some = True
+                    yield words_of(t)
+
+        _count(code, width, total, words())
         if some:
             for r, part in enumerate(np.split(total, cuts[1:-1])):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "counts"])

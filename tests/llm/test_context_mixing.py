@@ -186,3 +186,55 @@ def test_counts_without_the_own_occurrence():
     for k, own in zip(cm.GATES, level, strict=True):
         at = slice(cm._first(width, k), cm._first(width, k + 1))
         assert np.array_equal(own, cm._level(np.maximum(zeros[at] + ones[at] - np.float32(1), 0)))
+
+
+def test_equal_lines_are_counted_together(monkeypatch):
+    words = [cm.words_of(text(i, 20)) for i in range(30)] + [[], [b"\xff\x00rare" * 40]]
+    code, width = cm.Code(np.bincount(np.concatenate([cm.streams([w])[0] for w in words]), minlength=256)), [14] * 6
+    want, lines = np.zeros(2 * cm._first(width, 6), np.uint32), 0
+    for b in cm._bits(code, width, words):
+        lines += len(b.entry)
+        for k in range(len(cm.PREDICTORS)):
+            np.add.at(want, b.slots(k) * 2 + code.bit[b.of], 1)
+    added, add = [], np.add
+
+    class Add:
+        def __getattr__(self, name):
+            return getattr(add, name)
+
+        def __call__(self, *args, **kwargs):
+            return add(*args, **kwargs)
+
+        def at(self, total, slots, times):
+            added.append(len(slots))
+            add.at(total, slots, times)
+
+    for gather in (1 << 16, 500, 70):
+        monkeypatch.setattr(cm, "GATHER", gather)
+        total = np.zeros_like(want)
+        with monkeypatch.context() as m:
+            m.setattr(np, "add", Add())
+            cm._count(code, width, total, words)
+        assert np.array_equal(total, want)
+        if gather == 1 << 16:
+            assert sum(added) < 0.6 * 4 * lines * len(cm.PREDICTORS)
+
+
+def test_steps_are_read_together(monkeypatch):
+    """Several steps' features are looked up at once; what is learned is the same as step by step."""
+    monkeypatch.setattr(cm, "SETTLED", 2_000)
+    words = [cm.words_of(text(i, 20)) for i in range(60)] + [[], cm.words_of(text(99, 400))]
+    width = [14] * 6
+    code, counts = cm.Code(np.bincount(np.concatenate([cm.streams([w])[0] for w in words]), minlength=256)), np.zeros(2 * cm._first(width, 6), np.float32)
+    cm._count(code, width, counts, words)
+    read, made = cm.Bits.read, []
+    monkeypatch.setattr(cm.Bits, "read", lambda *args: made.append(len(args[4])) or read(*args))
+    parts, found = list(cm._parts(words, 300)), []
+    for size in (48_000, 1_000, 1):
+        made.clear()
+        monkeypatch.setattr(cm, "LEARN_SLICE", size)
+        found.append((*cm._learn(code, width, counts, iter(parts)), len(made)))
+    assert [x[2] for x in found][::2] == [1, len(parts)] and len(parts) > 20
+    for weights, cells, _ in found[1:]:
+        assert np.abs(weights - found[0][0]).max() < 1e-5 and abs(cells.sum() - found[0][1].sum()) < 1
+    assert found[0][1].sum() > 0
