@@ -9,13 +9,17 @@ Bit counts cover all training texts. The mixing weights and the map, a few thous
 training texts: a hash deals these to shards of about LEARN_DOCS, each shard is learned online in the order of the hash, each
 occurrence left out of its own counts, and the shards' weights are averaged by their bytes, their maps added up. All sums
 over partitions are of whole numbers, so scores don't depend on how rows are dealt.
+
+The loops over every bit (_count, _learned, Model.cost) run in the executors' JVMs, from Mixing.java; the functions here say the
+same in numpy, and tests hold the two against each other.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
+import struct
+import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -23,9 +27,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import java
 from .common import text_slices, written
 
 #: Predictors by what they see: so many last bytes; "word": the word so far; "words": that and the word before.
@@ -36,6 +41,8 @@ LEAST_BITS, MOST_BITS = 14, (18, 20, 21, 21, 21, 21)
 GATES, LEVELS = (3, 5), 6
 #: What is added to each count of a bit; the bound of the logistic domain, and buckets of the map over it.
 PRIOR, BOUND, BUCKETS = 0.4, 8.0, 64
+#: Odds of slots are whole numbers of this part, so that tables of two bytes a slot hold them.
+ODDS_PART = 4096
 #: Training texts of a shard that is learned online, about; tasks for them at most; bytes of a step; its rate; a shard's bytes before its map is filled.
 LEARN_DOCS, LEARN_PARTS, STEP, RATE, SETTLED = 1_600, 128, 4_000, 0.02, 500_000
 #: Shards' weights are added up as whole numbers of this part.
@@ -280,7 +287,10 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     x = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-    return np.clip(x, -BOUND, BOUND, out=x)
+    x *= np.float32(ODDS_PART)
+    np.clip(np.rint(x, out=x), -BOUND * ODDS_PART, BOUND * ODDS_PART - 1, out=x)
+    x /= np.float32(ODDS_PART)
+    return x
 
 
 def _parts(texts: Iterable[list[bytes]], size: int) -> Iterator[list[list[bytes]]]:
@@ -427,26 +437,41 @@ def _count(code: Code, width: list[int], total: np.ndarray, texts: Iterable[list
     flush()
 
 
+def _java(spark: SparkSession, code: Code, width: list[int]):
+    """The kernels of Mixing.java for a code and tables."""
+    sees = [{"word": -1, "words": -2}.get(x, x) for x in PREDICTORS]
+    head = [LEVELS, BUCKETS, LINE, *GATES, len(PREDICTORS), *(x for pair in zip(sees, width, strict=True) for x in pair), *code.bits]
+    head += [x for pair in zip(code.node, code.bit, strict=True) for x in pair]
+    return java.load(spark, "Mixing", struct.pack(f"<{len(head)}i", *head), BOUND)
+
+
+def _sent(spark: SparkSession, kernels, odds: np.ndarray, level: list[np.ndarray], weights: np.ndarray | None = None, refined: np.ndarray | None = None):
+    """A broadcast of tables; the odds go to the driver's JVM by a file."""
+    with tempfile.NamedTemporaryFile(prefix="millrace-") as file:
+        (odds * np.float32(ODDS_PART)).astype("<i2").tofile(file)
+        file.flush()
+        shorts = kernels.shorts(file.name)
+    floats = (None if x is None else x.astype("<f4").tobytes() for x in (weights, refined))
+    tables = kernels.tables(shorts, *(x.tobytes() for x in level), *floats)
+    return spark.sparkContext._jsc.broadcast(tables)
+
+
+def _costs(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Model.cost of each text."""
+    kernels = _java(spark, model.code, model.width)
+    sent = _sent(spark, kernels, model.odds, model.level, model.weights, model.refined)
+    jvm = spark.sparkContext._jvm
+    spark._jsparkSession.udf().register("millrace_mixing_cost", kernels.cost(sent), jvm.org.apache.spark.sql.types.DataTypes.DoubleType)
+    return F.call_function("millrace_mixing_cost", text.cast("binary"))
+
+
 def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
     """A model of whole texts (text string). histogram: how often each byte is in their streams."""
     code, width = Code(histogram), widths(int(histogram.sum()))
     slots = _first(width, len(width))
     cuts = np.linspace(0, 2 * slots, RANGES + 1).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros(2 * slots, np.uint32), False
-
-        def words() -> Iterator[list[bytes]]:
-            nonlocal some
-            for _, own in text_slices(batches, 0):
-                for t in own:
-                    some = True
-                    yield words_of(t)
-
-        _count(code, width, total, words())
-        if some:
-            for r, part in enumerate(np.split(total, cuts[1:-1])):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "counts"])
+    kernels = _java(texts.sparkSession, code, width)
 
     def add(rows: pa.Table) -> pa.Table:
         total = 0
@@ -456,7 +481,8 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
         return pa.table({"range": pa.array([rows["range"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     spread = texts.coalesce(max(1, min(COUNT_PARTS, -(-n_texts // COUNT_DOCS))))
-    summed = written(spread.mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary"))
+    counted = java.map_partitions(spread.select(F.col("text").cast("binary")), kernels.count(cuts.tobytes()), "range int, counts binary")
+    summed = written(counted.groupBy("range").applyInArrow(add, "range int, counts binary"))
     counts = np.zeros(2 * slots, np.float32)
     for row in summed.toLocalIterator():
         counts[cuts[row["range"]] : cuts[row["range"] + 1]] = np.frombuffer(row["counts"], "<f4")
@@ -474,44 +500,20 @@ def fit(texts: DataFrame, histogram: np.ndarray, n_texts: int) -> Model:
             yield batch.filter(pa.array(new, pa.bool_()))
 
     rows = texts.select(F.xxhash64("text").alias("key"), "text").mapInArrow(once, "key bigint, text string")
-    sharded = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", "text").repartition(min(shards, LEARN_PARTS), "shard").sortWithinPartitions("shard", "key", "text")
-    sent = texts.sparkSession.sparkContext.broadcast(_left_out(width, counts))
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sums of a task's shards."""
-        weights, found, n = 0, 0, 0
-
-        def different() -> Iterator[tuple[int, str]]:
-            last = None
-            for batch, own in text_slices(batches, 2):
-                for x in zip(batch.column(0).to_pylist(), own, strict=True):
-                    if x != last:
-                        yield x
-                    last = x
-
-        for _, own in itertools.groupby(different(), lambda x: x[0]):
-            size = 0
-
-            def words() -> Iterator[list[bytes]]:
-                nonlocal size
-                for _, t in own:  # noqa: B023
-                    size += len(t)
-                    yield words_of(t)
-
-            w, f = _learned(code, width, *sent.value, _parts(words(), STEP))
-            share = size // 1000 + 1
-            weights, found, n = weights + np.rint(w.astype(np.float64) * FINE).astype(np.int64) * share, found + f, n + share
-        if n:
-            columns = [pa.array([x.tobytes()], pa.binary()) for x in (weights, found)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n])], ["weights", "map", "n"])
+    sharded = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "key", F.col("text").cast("binary").alias("text")).repartition(min(shards, LEARN_PARTS), "shard").sortWithinPartitions("shard", "key", "text")
+    model = Model(code, width, np.empty(0), [])
+    odds, level = _left_out(width, counts)
+    sent = _sent(texts.sparkSession, kernels, odds, level)
+    learn = kernels.learn(sent, STEP, SLICE, SETTLED, RATE, float(FINE), float(model.weights[0, 0]))
+    del odds, level
 
     weights, found, n = 0, 0, 0
     # written first: read row by row from the driver, the tasks would run one after another
-    for row in written(sharded.mapInArrow(learn, "weights binary, map binary, n bigint")).toLocalIterator():
+    for row in written(java.map_partitions(sharded, learn, "weights binary, map binary, n bigint")).toLocalIterator():
         weights, found, n = weights + np.frombuffer(row["weights"], np.int64), found + np.frombuffer(row["map"]), n + row["n"]
     sent.destroy()
     tables = [counts[2 * _first(width, k) : 2 * _first(width, k + 1)] for k in GATES]
-    model = Model(code, width, _odds(counts[::2], counts[1::2]), [_level(t[::2] + t[1::2]) for t in tables])
+    model.odds, model.level = _odds(counts[::2], counts[1::2]), [_level(t[::2] + t[1::2]) for t in tables]
     if n:
         model.weights = (weights / (n * FINE)).reshape(model.weights.shape).astype(np.float32)
         n0, n1 = found.reshape(-1, 2).T
@@ -583,7 +585,7 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         histogram[r["byte"]] = r["n"]
     histogram[[SPACE, END]] += [sums["n"], n_train]
     model = fit(dealt.where("NOT held_out").select("text"), histogram, n_train)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    priced = dealt.withColumn("score", _costs(docs.sparkSession, model, F.col("text")))
     valued = tokens.select("block", "k", "token").join(vocabulary, "token").select("block", "k", "c")
     unit = math.log10(total + distinct_tokens + 1)
     kind = dict(docs.dtypes)[id_col]
@@ -600,18 +602,18 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         number = dict(zip(number, rank.tolist(), strict=True))
-        parts = [[np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)]]
+        parts = [[np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]]
         for part in _parts((words_of(t.as_py()) for t in rows["text"]), SLICE):
             size = np.array([len(words) for words in part], np.int64)
             seen = counts[np.fromiter((number[w] for words in part for w in words), np.int64, size.sum())]
             text = np.repeat(np.arange(len(part)), size)
             own = np.bincount(text, np.log10(seen + 1.0), len(part)), np.bincount(text[seen > 0], minlength=len(part))
             n_bytes = np.array([sum(map(len, words)) for words in part], np.int64) + size + 1
-            for held, new in zip(parts, (size, *own, sent.value.cost(part), n_bytes), strict=True):
+            for held, new in zip(parts, (size, *own, n_bytes), strict=True):
                 held.append(new)
-        sizes, base, n_known, scores, n_bytes = (np.concatenate(held) for held in parts)
+        sizes, base, n_known, n_bytes = (np.concatenate(held) for held in parts)
         base = base + math.log10(n_train + 1) - (sizes + 1) * unit
-        n_known = n_known + (n_train > 0)
+        n_known, scores = n_known + (n_train > 0), rows["score"].to_numpy()
         return pa.table(
             {
                 "doc_id": rows["doc_id"],
@@ -625,4 +627,4 @@ def score(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             }
         )
 
-    return dealt.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(finish, schema)
+    return priced.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(finish, schema)

@@ -238,3 +238,31 @@ def test_steps_are_read_together(monkeypatch):
     for weights, cells, _ in found[1:]:
         assert np.abs(weights - found[0][0]).max() < 1e-5 and abs(cells.sum() - found[0][1].sum()) < 1
     assert found[0][1].sum() > 0
+
+
+def test_java_does_as_numpy(spark, monkeypatch):
+    """Counts, weights, map and costs of Mixing.java against the functions in numpy, a text over several slices included."""
+    monkeypatch.setattr(cm, "SETTLED", 3_000)
+    monkeypatch.setattr(cm, "SLICE", 1_500)
+    monkeypatch.setattr(cm, "LEARN_SLICE", 1_500)
+    monkeypatch.setattr(cm, "STEP", 400)
+    texts = [text(i, 20) for i in range(60)] + ["", " \t\r\n\x0b\x0c ", "É THE\x1cthe\xa0ÜBER   \U0001f600", text(99, 400), "the the the the"]
+    words = [cm.words_of(t) for t in texts]
+    histogram = np.bincount(np.concatenate([d[k] for d, k, _ in [cm.streams([w]) for w in words]]), minlength=256)
+    model = cm.fit(spark.createDataFrame([(t,) for t in texts + texts[:9]], "text string").coalesce(1), histogram, len(texts) + 9)
+    counts = np.zeros(2 * cm._first(model.width, len(model.width)), np.float32)
+    cm._count(model.code, model.width, counts, words + words[:9])
+    assert np.array_equal(model.odds, cm._odds(counts[::2], counts[1::2]))
+    order = [r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) AS key", "text").sort("key", "text").collect()]
+    weights, found = cm._learn(model.code, model.width, counts, cm._parts([cm.words_of(t) for t in order], cm.STEP))
+    assert np.abs(model.weights - weights).max() < 1e-5 and np.abs(weights - 0.3).max() > 0.01
+    n0, n1 = found.reshape(-1, 2).T
+    centre = (np.arange(cm.BUCKETS) + 0.5) * (2 * cm.BOUND / cm.BUCKETS) - cm.BOUND
+    prior = 8 / (1 + np.exp(-np.tile(centre, 256)))
+    refined = np.log((n1 + prior) / (n0 + 8 - prior))
+    assert found.sum() > 0 and (np.abs(model.refined - refined) > 1e-4).mean() < 0.001  # a sum at a bucket's edge
+    some = [*texts, "new words", "x" * 3_000, *texts]
+    frame = spark.createDataFrame(list(enumerate(some)), "id int, text string").coalesce(1)
+    got = [r.c for r in frame.select("id", cm._costs(spark, model, frame.text).alias("c")).sort("id").collect()]
+    want = model.cost([cm.words_of(t) for t in some])
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5) and got[: len(texts)] == got[-len(texts) :]
